@@ -12,7 +12,7 @@ from paceline.functions import text
 from paceline.operators import clean, encode, folds, history, metrics, model, profile, split, validate
 from paceline.operators.ordered import Prior, global_index, prior_aggregates
 from paceline.plans import flows
-from paceline.plans.race_view import TEST_YEAR, race_raw, table
+from paceline.plans.race_view import TEST_YEAR, race_entities, race_raw, table
 from paceline.schema import FEATURE_COLS, RACE, RAW_SCHEMA, ROW_ID
 from paceline.sources import runlog, tables
 from paceline.sources.scratch import new_folder, pin
@@ -55,12 +55,11 @@ def even(column: str, digits: int):
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.clean_races(race_raw(spark, sf_dir))
+    return clean.clean_races(race_raw(spark, sf_dir), size_source=race_entities(spark, sf_dir))
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = race_raw(spark, sf_dir)
-    return history.history_features(clean.clean_races(raw), size_source=raw)
+    return history.history_features(cleaned(spark, sf_dir), size_source=race_entities(spark, sf_dir))
 
 
 def target_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -114,8 +113,12 @@ def clean_event_name(spark, d):
     return show(text.with_clean_name(race_raw(spark, d)), ROW_ID, "Event_name_clean")
 
 
+def _documents(spark, d) -> DataFrame:
+    return tables.spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def clean_event_name_documents(spark, d):
-    return text.with_clean_name(table(spark, d, "documents"), "text", "name").select("doc_id", "name")
+    return text.with_clean_name(_documents(spark, d), "text", "name").select("doc_id", "name")
 
 
 def clean_event_name_noise(spark, d):
@@ -124,7 +127,7 @@ def clean_event_name_noise(spark, d):
 
 
 def clean_event_name_noise_documents(spark, d):
-    docs = table(spark, d, "documents")
+    docs = _documents(spark, d)
     return text.with_clean_name(docs, "text", "name", text.clean_event_name_noise).select("doc_id", "name")
 
 
@@ -239,7 +242,7 @@ def missing_distance_events(spark, d):
 
 
 def names_with_digits(spark, d):
-    named = text.with_clean_name(table(spark, d, "documents"), "text", "name")
+    named = text.with_clean_name(_documents(spark, d), "text", "name")
     return clean.names_with_digits(named, "name")
 
 

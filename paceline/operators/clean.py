@@ -140,10 +140,12 @@ def clean_races(
     legacy_units: bool = False,
     strict_durations: bool = False,
     max_group_rows: int = MAX_GROUP_ROWS,
+    size_source: DataFrame | None = None,
 ) -> DataFrame:
     """The cleaning stage: filters first, then parsers, then the single-gender rule.
 
-    Group sizes are measured on the uncleaned table, which reads one column only.
+    Group sizes are measured on the uncleaned table (or on ``size_source``), which reads
+    one column only.
     """
     kept = df.drop(race.club, race.country)
     kept = require(kept, [race.gender, race.birth_year, race.age_category, race.performance])
@@ -162,8 +164,9 @@ def clean_races(
     )
     whole = require(whole, [race.pace])
     consistent = single_valued_entities(
-        whole, race.entity, race.gender, history_order(df.columns, race), df, max_group_rows
-    )
+        whole, race.entity, race.gender, history_order(df.columns, race),
+        df if size_source is None else size_source, max_group_rows,
+    )
     return consistent.withColumns(
         {
             race.event_clean: text.clean_event_name(F.col(race.event)),

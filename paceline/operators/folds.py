@@ -16,14 +16,14 @@ def _needs_rows(n: int, least: int) -> None:
         raise ValueError(f"{n} rows are too few: at least {least} are needed")
 
 
-def time_folds(df: DataFrame, order: list[str], folds: int = 5) -> DataFrame:
+def time_folds(df: DataFrame, order: list[str], folds: int = 5, unique: bool = True) -> DataFrame:
     """Add the global time index and the fold in which a row is validated.
 
     Rows are cut into ``folds`` equal last blocks, numbered 0 .. folds-1, and a first
     block, numbered -1, that also takes the remainder.  A row trains every fold with a
     higher number, so one column describes all expanding-window folds.
     """
-    indexed = global_index(df, order, INDEX)
+    indexed = global_index(df, order, INDEX, unique=unique)
     n = indexed.count()
     _needs_rows(n, folds + 1)
     size = n // (folds + 1)
@@ -32,9 +32,9 @@ def time_folds(df: DataFrame, order: list[str], folds: int = 5) -> DataFrame:
     return indexed.withColumn(FOLD, F.when(F.col(INDEX) < start, -1).otherwise(place).cast("int"))
 
 
-def kfold_ranges(df: DataFrame, order: list[str], folds: int = 5) -> DataFrame:
+def kfold_ranges(df: DataFrame, order: list[str], folds: int = 5, unique: bool = True) -> DataFrame:
     """Add the index and a contiguous fold; the first ``n mod folds`` folds get one row more."""
-    indexed = global_index(df, order, INDEX)
+    indexed = global_index(df, order, INDEX, unique=unique)
     n = indexed.count()
     _needs_rows(n, folds)
     size, extra = divmod(n, folds)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paceline.functions import numeric
 from paceline.operators.ordered import MAX_GROUP_ROWS, Prior, prior_aggregates
-from paceline.schema import RACE, RaceColumns, history_order
+from paceline.schema import RACE, ROW_ID, RaceColumns, history_order
 
 TARGET_EVENT = "Western States"
 NO_HISTORY = -1
@@ -40,7 +40,9 @@ def history_features(
         Prior("recent_avg_distance", "recent_mean", race.distance, recent),
     ]
     marked = df.withColumn(hit, F.col(race.event).rlike(event_pattern).cast("bigint"))
-    out = prior_aggregates(marked, race.entity, order, specs, max_group_rows, size_source).drop(hit)
+    out = prior_aggregates(
+        marked, race.entity, order, specs, max_group_rows, size_source, unique=ROW_ID in order
+    ).drop(hit)
 
     none = F.lit(NO_HISTORY)
     filled = {s.name: F.coalesce(F.col(s.name), none) for s in specs if s.kind != "count"}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from paceline.operators.encode import FEATURES, LABEL, ModelMatrix, prepare_model_data
 from paceline.operators.folds import FOLD, kfold_ranges, time_folds
 from paceline.operators.metrics import regression_metrics, score_summary
-from paceline.schema import RACE, RaceColumns, history_order
+from paceline.schema import RACE, ROW_ID, RaceColumns, history_order
 from paceline.sources.scratch import shared_dir
 
 PREDICTION = "prediction"
@@ -101,7 +101,7 @@ def temporal_cv(
     One row per fold.  The table is sorted and written once; each fold filters it.
     """
     order = order or history_order(train.columns, race)
-    folded = time_folds(train, order, folds)
+    folded = time_folds(train, order, folds, unique=ROW_ID in order)
     rows = []
     for i in range(folds):
         x_train, x_val, _ = prepare_model_data(
@@ -164,10 +164,10 @@ def grid_search(
         pairs = [(train, train)]
     elif selection == "holdout":
         blocks = max(2, round(1 / holdout_share))
-        parts = kfold_ranges(train, order or [LABEL], blocks)
+        parts = kfold_ranges(train, order or [LABEL], blocks, unique=bool(order))
         pairs = [(parts.filter(F.col(FOLD) < blocks - 1), parts.filter(F.col(FOLD) == blocks - 1))]
     elif selection == "cv":
-        parts = time_folds(train, order or [LABEL], folds)
+        parts = time_folds(train, order or [LABEL], folds, unique=bool(order))
         pairs = [(parts.filter(F.col(FOLD) < i), parts.filter(F.col(FOLD) == i)) for i in range(folds)]
     else:
         raise ValueError(f"unknown selection {selection!r}")

@@ -26,20 +26,29 @@ PLACE = "_place"
 MAX_GROUP_ROWS = 2_000_000
 
 
-def range_blocks(df: DataFrame, keys: list[str], blocks: int | None = None) -> DataFrame:
+def range_blocks(
+    df: DataFrame, keys: list[str], blocks: int | None = None, unique: bool = True
+) -> DataFrame:
     """Sort globally by ``keys`` into range partitions; add block and 0-based place.
 
+    Rows with equal keys share a partition.  When ``keys`` are not ``unique``, rows are
+    numbered and written first, and the number breaks ties, so that any count of equal
+    rows can be cut; their order among themselves is free.
+
     ``monotonically_increasing_id`` is partition number * 2^33 + row number, so it
     yields both without another shuffle.  The result is written to the checkpoint
     folder: the sampled range bounds, and with them the blocks, must not change
     between two uses of the table or after the loss of an executor.
     """
+    if not unique:
+        df = pin(df.withColumn("_tie", F.monotonically_increasing_id()))
+        keys = [*keys, "_tie"]
     ranged = df.repartitionByRange(blocks, *keys) if blocks else df.repartitionByRange(*keys)
     ordered = ranged.sortWithinPartitions(*keys).withColumn("_mid", F.monotonically_increasing_id())
     return pin(
         ordered.withColumn(BLOCK, F.shiftright("_mid", 33))
         .withColumn(PLACE, F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("_mid")
+        .drop("_mid", "_tie")
     )
 
 
@@ -55,14 +64,18 @@ def block_offsets(blocks: DataFrame, weight: Column, name: str) -> DataFrame:
 
 
 def global_index(
-    df: DataFrame, order: list[str], name: str = "row_index", blocks: int | None = None
+    df: DataFrame,
+    order: list[str],
+    name: str = "row_index",
+    blocks: int | None = None,
+    unique: bool = True,
 ) -> DataFrame:
     """0-based position of every row in the global order of ``order`` (nulls first).
 
-    ``order`` should end in a unique column.  Costs one range shuffle and one write
-    of the table; no task ever holds more than one range partition.
+    Costs one range shuffle and one write of the table; no task ever holds more than one
+    range partition.  Say ``unique=False`` when ``order`` does not tell all rows apart.
     """
-    placed = range_blocks(df, order, blocks)
+    placed = range_blocks(df, order, blocks, unique)
     offsets = block_offsets(placed, F.lit(1).cast("bigint"), "_offset")
     return (
         placed.join(F.broadcast(offsets), BLOCK)
@@ -103,12 +116,14 @@ def prior_aggregates(
     specs: list[Prior],
     max_group_rows: int = MAX_GROUP_ROWS,
     size_source: DataFrame | None = None,
+    unique: bool = True,
 ) -> DataFrame:
     """Add per-entity aggregates over the rows strictly before each row in ``order``.
 
     The value is null where no earlier row has an input (0 for ``count``).
     A null entity is a group like any other.  ``size_source`` is a cheaper table to
-    measure group sizes on first, whose groups are at least as large.
+    measure group sizes on first, whose groups are at least as large.  Say
+    ``unique=False`` when ``order`` does not tell all rows of an entity apart.
     """
     for source in ([df] if size_source is None else [size_source, df]):
         largest, large_rows = group_sizes(source, entity, max_group_rows)
@@ -121,7 +136,7 @@ def prior_aggregates(
     same = df[entity].eqNullSafe(F.col("_large"))
     small_part = _prior_by_window(df.join(large, same, "left_anti"), entity, order, specs)
     cut = 2 * -(-large_rows // max_group_rows)
-    large_part = _prior_by_blocks(df.join(large, same, "left_semi"), entity, order, specs, cut)
+    large_part = _prior_by_blocks(df.join(large, same, "left_semi"), entity, order, specs, cut, unique)
     return small_part.unionByName(large_part)
 
 
@@ -166,9 +181,9 @@ def _states(specs: list[Prior]) -> dict[str, tuple[str, str | None]]:
 
 
 def _prior_by_blocks(
-    df: DataFrame, entity: str, order: list[str], specs: list[Prior], cut: int
+    df: DataFrame, entity: str, order: list[str], specs: list[Prior], cut: int, unique: bool
 ) -> DataFrame:
-    placed = range_blocks(df, [entity, *order], cut)
+    placed = range_blocks(df, [entity, *order], cut, unique)
     states = _states(specs)
     recent = {s.column: max(r.size for r in specs if r.column == s.column and r.kind == "recent_mean")
               for s in specs if s.kind == "recent_mean"}
@@ -264,20 +279,32 @@ def _mean_of_latest(s: Prior, lags: int) -> Column:
     return F.when(F.size(values) > 0, total / F.size(values))
 
 
-def weighted_ranks(
-    df: DataFrame, order: list[str], weight: str, name: str = "before", blocks: int | None = None
-) -> DataFrame:
-    """Add the total ``weight`` of all rows before each row in the global order.
+def weighted_ranks(placed: DataFrame, by: list[str], weight: str) -> DataFrame:
+    """Add ``_rank`` (total weight before the row in its group) and ``_size`` (group total).
 
-    Meant for tables already reduced to distinct keys with counts, which turns any
-    number of equal values into one row before the shuffle.
+    ``placed`` comes from ``range_blocks`` with keys that start with ``by``.  Meant for
+    tables already reduced to distinct keys with counts, which turns any number of equal
+    values into one row.  A group may span many blocks: each block adds up its own rows,
+    and the block totals of a group (one row per block it touches) give the rest.
     """
-    placed = range_blocks(df, order, blocks)
-    offsets = block_offsets(placed, F.col(weight), "_offset")
-    w = Window.partitionBy(BLOCK).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(BLOCK, *by).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, -1)
+    rows = placed.withColumn("_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+
+    totals = placed.groupBy(*by, BLOCK).agg(F.sum(weight).alias("_total"))
+    blocks = Window.partitionBy(*by)
+    earlier = blocks.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    names = {c: f"_by{i}" for i, c in enumerate(by)}
+    carry = totals.select(
+        *[F.col(c).alias(n) for c, n in names.items()],
+        F.col(BLOCK).alias("_at"),
+        F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_earlier"),
+        F.sum("_total").over(blocks).alias("_size"),
+    )
+    same = F.col(BLOCK) == F.col("_at")
+    for c, n in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(n))
     return (
-        placed.withColumn("_inside", F.coalesce(F.sum(weight).over(w), F.lit(0)))
-        .join(F.broadcast(offsets), BLOCK)
-        .withColumn(name, F.col("_offset") + F.col("_inside"))
-        .drop(BLOCK, PLACE, "_offset", "_inside")
+        rows.join(carry, same)
+        .withColumn("_rank", F.col("_earlier") + F.col("_inside"))
+        .drop("_earlier", "_inside", "_at", *names.values())
     )

@@ -10,8 +10,7 @@ from pyspark.sql import types as T
 
 from paceline.functions.numeric import normal_quantile
 from paceline.operators.metrics import with_error
-from paceline.operators.ordered import global_index, weighted_ranks
-from paceline.sources.scratch import pin
+from paceline.operators.ordered import global_index, range_blocks, weighted_ranks
 
 
 def _long(wide: DataFrame, entries: list[Column]) -> DataFrame:
@@ -177,33 +176,18 @@ def exact_quantiles(
     values are ranked across range partitions; no group is gathered in one task.
     """
     by = by or []
-    return _quantiles(_value_ranks(df, value, by), probs, by)
+    return _quantiles(_placed_values(df, value, by), probs, by)
 
 
-def _value_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Distinct values with counts, rank inside the group and the group size."""
-    keep = [F.col(c) for c in by]
-    values = df.select(*keep, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+def _placed_values(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """Distinct values per group with their counts, in pinned range partitions."""
+    values = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     counted = values.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = weighted_ranks(counted, [*by, "_v"], "_n", "_before")
-    # The ranking is needed twice: once for the group starts, once for the rows.
-    ranked = pin(ranked)
-    sizes = ranked.groupBy(*by).agg(F.min("_before").alias("_start"), F.sum("_n").alias("_size"))
-    if not by:
-        # One row, so the broadcast is safe and nothing multiplies.
-        one = sizes.select(F.lit(1).alias("_one"), "_start", "_size")
-        joined = ranked.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
-    else:
-        names = {c: f"_g{i}" for i, c in enumerate(by)}
-        renamed = sizes.withColumnsRenamed(names)
-        same = F.lit(True)
-        for c, g in names.items():
-            same = same & F.col(c).eqNullSafe(F.col(g))
-        joined = ranked.join(renamed, same).drop(*names.values())
-    return joined.withColumn("_rank", F.col("_before") - F.col("_start")).drop("_before", "_start")
-
-
-def _quantiles(ranks: DataFrame, probs: dict[str, float], by: list[str]) -> DataFrame:
+    return range_blocks(counted, [*by, "_v"])
+
+
+def _quantiles(placed: DataFrame, probs: dict[str, float], by: list[str]) -> DataFrame:
+    ranks = weighted_ranks(placed, by, "_n")
     first, last = F.col("_rank"), F.col("_rank") + F.col("_n") - 1
     picks = []
     for name, q in probs.items():
@@ -228,14 +212,14 @@ def box_stats(df: DataFrame, value: str, by: list[str] | None = None, reach: flo
     # A constant stands in when there is no group, so both joins below are equi-joins.
     keys = by or ["_all"]
     source = df if by else df.withColumn("_all", F.lit(1))
-    ranks = pin(_value_ranks(source, value, keys))
-    quartiles = _quantiles(ranks, QUARTILES, keys)
+    placed = _placed_values(source, value, keys)
+    quartiles = _quantiles(placed, QUARTILES, keys)
     names = {c: f"_k{i}" for i, c in enumerate(keys)}
     same = F.lit(True)
     for c, k in names.items():
         same = same & F.col(c).eqNullSafe(F.col(k))
     fences = quartiles.withColumnsRenamed(names)
-    joined = ranks.join(fences, same)
+    joined = placed.join(fences, same)
     spread = F.col("q3") - F.col("q1")
     inside = F.col("_v").between(F.col("q1") - reach * spread, F.col("q3") + reach * spread)
     return joined.groupBy(*keys).agg(

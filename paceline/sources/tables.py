@@ -120,3 +120,13 @@ def write_importance_csv(importance: DataFrame, path: str) -> None:
     """Feature importance (one row per model input), sorted, as a single CSV part."""
     ordered = importance.orderBy(F.desc("importance"), "feature")
     ordered.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share out a table with fewer file splits than the session has cores.
+
+    Matters for costly expressions over small files; a table with enough splits, which
+    is any large one, is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
