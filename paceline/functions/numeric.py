@@ -79,7 +79,7 @@ AS241_TAIL = (
     ],
     [
         2.04426310338993978564e-15, 1.4215117583164458887e-7, 1.8463183175100546818e-5, 7.868691311456132591e-4,
-        0.0148753612908506148525, 0.13692988809227358053, 0.59983220655588793769, 1.0,
+        0.0148753612908506148525, 0.13692988092273580531, 0.59983220655588793769, 1.0,
     ],
 )
 

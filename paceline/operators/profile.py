@@ -284,8 +284,11 @@ def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def _corr(a: str, b: str) -> Column:
-    # Null rather than NaN for a constant column.
-    return F.nanvl(F.corr(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(None).cast("double"))
+    """Correlation over rows with both values; null, not an error, for a constant column."""
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.try_divide(F.covar_pop(x, y), spread)
 
 
 def top_correlations(
@@ -334,7 +337,7 @@ def qq_fit(points: DataFrame) -> DataFrame:
     return points.agg(
         F.regr_slope("ordered", "theoretical").alias("slope"),
         F.regr_intercept("ordered", "theoretical").alias("intercept"),
-        F.corr("ordered", "theoretical").alias("r"),
+        _corr("ordered", "theoretical").alias("r"),
     )
 
 
