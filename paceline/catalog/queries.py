@@ -62,6 +62,11 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.history_features(cleaned(spark, sf_dir), size_source=race_entities(spark, sf_dir))
 
 
+def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature table written once, for queries that read it several times."""
+    return pin(features(spark, sf_dir))
+
+
 def target_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
     return split.split_by_target_event(features(spark, sf_dir), TEST_YEAR)
 
@@ -80,6 +85,12 @@ def baseline_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key and residual of the past-mean prediction, written once: two narrow columns."""
+    known = baseline_predictions(spark, sf_dir)
+    return pin(metrics.with_error(known, "y_true", "y_pred", "residual").select(ROW_ID, "residual"))
+
+
 def text_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as untyped text cells, some of them missing or malformed."""
     k = F.col("o_orderkey")
@@ -319,7 +330,7 @@ def event_type_history(spark, d):
     ]
     events = table(spark, d, "events").select("event_id", "event_type", "ts", "value")
     # A low limit, so that the cut-up form runs at any size; it changes no result.
-    limit = max(1000, events.count() // 64)
+    limit = max(1000, events.count() // 16)
     out = prior_aggregates(events, "event_type", ["ts", "event_id"], specs, limit)
     rounded = {s.name: even(s.name, 5) for s in specs if s.kind != "count"}
     return out.withColumns(rounded).select("event_id", *[s.name for s in specs])
@@ -347,11 +358,11 @@ def split_year_test(spark, d):
 
 
 def time_index(spark, d):
-    return show(global_index(cleaned(spark, d), FOLD_ORDER), ROW_ID, RACE.year, "row_index")
+    return show(global_index(pin(cleaned(spark, d)), FOLD_ORDER), ROW_ID, RACE.year, "row_index")
 
 
 def _folded(spark, d) -> DataFrame:
-    return folds.time_folds(cleaned(spark, d), FOLD_ORDER, 5)
+    return folds.time_folds(pin(cleaned(spark, d)), FOLD_ORDER, 5)
 
 
 def time_folds(spark, d):
@@ -371,7 +382,7 @@ def kfold_ranges(spark, d):
 
 
 def _encoded(spark, d) -> tuple[DataFrame, DataFrame]:
-    train, test, _ = split.split_by_year(cleaned(spark, d), TEST_YEAR)
+    train, test, _ = split.split_by_year(pin(cleaned(spark, d)), TEST_YEAR)
     return encode.target_encode(train, test)
 
 
@@ -389,7 +400,7 @@ def target_encoding_per_fold(spark, d):
 
 
 def category_codes(spark, d):
-    train, test, _ = split.split_by_year(cleaned(spark, d), TEST_YEAR)
+    train, test, _ = split.split_by_year(pin(cleaned(spark, d)), TEST_YEAR)
     parts = encode.category_codes([train, test], RACE.event_clean, "code")
     return show(parts[0].unionByName(parts[1]), ROW_ID, "code")
 
@@ -404,7 +415,7 @@ def one_hot(spark, d):
 
 def model_matrix_clean(spark, d):
     """Numeric model inputs with categories coded and gaps filled."""
-    train, test, cols = target_split(spark, d)
+    train, test, cols = _stored_split(spark, d)
     train, test = encode.target_encode(train, test)
     parts = encode.category_codes([train, test], RACE.gender)
     names = [*cols, "Race_Pace_Mean_Encoded"]
@@ -461,7 +472,7 @@ def prediction_errors(spark, d):
 def _tampered(spark, d) -> DataFrame:
     """Features with some history values made wrong on purpose."""
     k = F.col(ROW_ID)
-    return features(spark, d).withColumns(
+    return stored_features(spark, d).withColumns(
         {
             "cum_num_races": F.col("cum_num_races") + F.when(k % 50 == 0, 1).otherwise(0),
             "cum_avg_pace": F.col("cum_avg_pace") + F.when(k % 70 == 0, 0.5).otherwise(0.0),
@@ -470,7 +481,7 @@ def _tampered(spark, d) -> DataFrame:
 
 
 def validate_temporal(spark, d):
-    return show(validate.temporal_issues(features(spark, d)))
+    return show(validate.temporal_issues(stored_features(spark, d)))
 
 
 def validate_temporal_tampered(spark, d):
@@ -478,7 +489,7 @@ def validate_temporal_tampered(spark, d):
 
 
 def validate_temporal_summary(spark, d):
-    whole = features(spark, d)
+    whole = stored_features(spark, d)
     return validate.temporal_summary(whole, validate.temporal_issues(whole))
 
 
@@ -487,24 +498,24 @@ def validate_first_issues(spark, d):
 
 
 def validate_split(spark, d):
-    train, test, _ = target_split(spark, d)
+    train, test, _ = _stored_split(spark, d)
     return show(validate.split_issues(train, test, TEST_YEAR))
 
 
 def validate_split_wrong_year(spark, d):
-    whole = features(spark, d)
+    whole = stored_features(spark, d)
     train, test = whole.filter(F.col(RACE.year) < 1999), whole.filter(F.col(RACE.year) >= 1999)
     return show(validate.split_issues(train, test, 2005, "Comrades"))
 
 
 def validate_split_summary(spark, d):
-    train, test, _ = target_split(spark, d)
+    train, test, _ = _stored_split(spark, d)
     return validate.split_summary(train, test, validate.split_issues(train, test, TEST_YEAR))
 
 
 def validate_report(spark, d):
     settings = flows.RunSettings(output_dir="", test_year=TEST_YEAR)
-    return flows.leakage_report(features(spark, d), settings)["report"]
+    return flows.leakage_report(stored_features(spark, d), settings)["report"]
 
 
 # ---- profiles ---------------------------------------------------------------
@@ -582,13 +593,12 @@ def top_correlations(spark, d):
 
 
 def residual_histogram(spark, d):
-    out = profile.residual_histogram(baseline_predictions(spark, d), "y_true", "y_pred", 50)
-    return show(out)
+    known = pin(baseline_predictions(spark, d).select("y_true", "y_pred"))
+    return show(profile.residual_histogram(known, "y_true", "y_pred", 50))
 
 
 def _residual_points(spark, d) -> DataFrame:
-    known = metrics.with_error(baseline_predictions(spark, d), "y_true", "y_pred", "residual")
-    return profile.qq_points(known, "residual", ROW_ID)
+    return profile.qq_points(stored_residuals(spark, d), "residual", ROW_ID)
 
 
 def qq_points(spark, d):
@@ -600,16 +610,14 @@ def qq_fit(spark, d):
 
 
 def kde_curve(spark, d):
-    known = metrics.with_error(baseline_predictions(spark, d), "y_true", "y_pred", "residual")
-    return show(profile.kde_curve(known, "residual", 100))
+    return show(profile.kde_curve(stored_residuals(spark, d), "residual", 100))
 
 
 # ---- models -----------------------------------------------------------------
 
 
 def _stored_split(spark, d) -> tuple[DataFrame, DataFrame, list[str]]:
-    """The split of a feature table that is written once, as a run does."""
-    return split.split_by_target_event(pin(features(spark, d)), TEST_YEAR)
+    return split.split_by_target_event(stored_features(spark, d), TEST_YEAR)
 
 
 def _assembled(spark, d) -> tuple[DataFrame, DataFrame, encode.ModelMatrix]:

@@ -58,8 +58,8 @@ def single_valued_entities(
     group sizes on, whose groups are at least as large.
     """
     value = F.col(attribute)
-    largest, _ = group_sizes(df if size_source is None else size_source, entity, max_group_rows)
-    if largest <= max_group_rows:
+    sizes = group_sizes(df if size_source is None else size_source, entity, max_group_rows)
+    if sizes.largest <= max_group_rows:
         w = Window.partitionBy(entity)
         if order:
             w = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -24,6 +24,7 @@ from paceline.sources.scratch import pin
 BLOCK = "_block"
 PLACE = "_place"
 MAX_GROUP_ROWS = 2_000_000
+MAX_BROADCAST_ROWS = 200_000
 
 
 def range_blocks(
@@ -36,7 +37,7 @@ def range_blocks(
     rows can be cut; their order among themselves is free.
 
     ``monotonically_increasing_id`` is partition number * 2^33 + row number, so it
-    yields both without another shuffle.  The result is written to the checkpoint
+    yields both without another shuffle.  The result is written to the shared
     folder: the sampled range bounds, and with them the blocks, must not change
     between two uses of the table or after the loss of an executor.
     """
@@ -102,11 +103,25 @@ def _sizes(df: DataFrame, entity: str) -> DataFrame:
     return df.groupBy(entity).agg(F.count(F.lit(1)).alias("_rows"))
 
 
-def group_sizes(df: DataFrame, entity: str, limit: int) -> tuple[int, int]:
-    """Rows of the largest entity, and rows of all entities above ``limit`` together."""
-    above = F.sum(F.when(F.col("_rows") > limit, F.col("_rows")))
-    largest, rows = _sizes(df, entity).agg(F.max("_rows"), above).first()
-    return largest or 0, rows or 0
+@dataclass(frozen=True)
+class GroupSizes:
+    """Rows of the largest entity; number and rows of the entities above the limit."""
+
+    largest: int
+    large: int
+    large_rows: int
+
+
+def group_sizes(df: DataFrame, entity: str, limit: int) -> GroupSizes:
+    """Measure the groups of ``entity`` with one map-side combined count."""
+    above = F.when(F.col("_rows") > limit, F.col("_rows"))
+    found = _sizes(df, entity).agg(F.max("_rows"), F.count(above), F.sum(above)).first()
+    return GroupSizes(*[v or 0 for v in found])
+
+
+def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a side known to have few rows; leave a larger one to adaptive execution."""
+    return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
 
 
 def prior_aggregates(
@@ -126,17 +141,16 @@ def prior_aggregates(
     ``unique=False`` when ``order`` does not tell all rows of an entity apart.
     """
     for source in ([df] if size_source is None else [size_source, df]):
-        largest, large_rows = group_sizes(source, entity, max_group_rows)
-        if largest <= max_group_rows:
+        sizes = group_sizes(source, entity, max_group_rows)
+        if sizes.largest <= max_group_rows:
             return _prior_by_window(df, entity, order, specs)
 
-    # At most (all rows / max_group_rows) entities can be large: a safe broadcast.
     hot = _sizes(df, entity).filter(F.col("_rows") > max_group_rows)
-    large = F.broadcast(pin(hot.select(F.col(entity).alias("_large"))))
+    large = broadcast_if(pin(hot.select(F.col(entity).alias("_large"))), sizes.large)
     same = df[entity].eqNullSafe(F.col("_large"))
     small_part = _prior_by_window(df.join(large, same, "left_anti"), entity, order, specs)
-    cut = 2 * -(-large_rows // max_group_rows)
-    large_part = _prior_by_blocks(df.join(large, same, "left_semi"), entity, order, specs, cut, unique)
+    large_rows = df.join(large, same, "left_semi")
+    large_part = _prior_by_blocks(large_rows, entity, order, specs, sizes, max_group_rows, unique)
     return small_part.unionByName(large_part)
 
 
@@ -181,21 +195,29 @@ def _states(specs: list[Prior]) -> dict[str, tuple[str, str | None]]:
 
 
 def _prior_by_blocks(
-    df: DataFrame, entity: str, order: list[str], specs: list[Prior], cut: int, unique: bool
+    df: DataFrame,
+    entity: str,
+    order: list[str],
+    specs: list[Prior],
+    sizes: GroupSizes,
+    max_group_rows: int,
+    unique: bool,
 ) -> DataFrame:
+    cut = 2 * -(-sizes.large_rows // max_group_rows)
+    # Neighbouring blocks meet in one entity at most, which bounds the pairs of both.
+    pairs = cut + sizes.large
     placed = range_blocks(df, [entity, *order], cut, unique)
     states = _states(specs)
     recent = {s.column: max(r.size for r in specs if r.column == s.column and r.kind == "recent_mean")
               for s in specs if s.kind == "recent_mean"}
 
-    # One row per (entity, block): as many as there are range partitions, plus one
-    # for each further entity inside a partition, of which at most `cut` are large.
+    # One row per (entity, block).
     totals = placed.groupBy(entity, BLOCK).agg(
         F.max(PLACE).alias("_last"),
         *[_STATE[kind](c).alias(n) for n, (kind, c) in states.items()],
     )
     if recent:
-        totals = _with_block_tails(placed, totals, entity, recent)
+        totals = _with_block_tails(placed, totals, entity, recent, pairs)
     by_block = Window.partitionBy(entity).orderBy(BLOCK)
     earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
     carried = {f"_c{n}": _STATE_OVER_BLOCKS[kind](n).over(earlier) for n, (kind, _) in states.items()}
@@ -215,7 +237,7 @@ def _prior_by_blocks(
         for k in range(1, size + 1):
             inside[f"_lag{k}_{c}"] = F.lag(F.struct(F.col(c).alias("v")), k).over(w)
     rows = placed.withColumns(inside).join(
-        F.broadcast(carry),
+        broadcast_if(carry, pairs),
         F.col(entity).eqNullSafe(F.col("_entity")) & (F.col(BLOCK) == F.col("_at")),
         "left",
     )
@@ -237,7 +259,7 @@ def _prior_by_blocks(
 
 
 def _with_block_tails(
-    placed: DataFrame, totals: DataFrame, entity: str, recent: dict[str, int]
+    placed: DataFrame, totals: DataFrame, entity: str, recent: dict[str, int], pairs: int
 ) -> DataFrame:
     """Add, per (entity, block), its last few values, newest first.
 
@@ -248,7 +270,7 @@ def _with_block_tails(
     )
     depth = max(recent.values())
     tail_rows = placed.join(
-        F.broadcast(ends),
+        broadcast_if(ends, pairs),
         F.col(entity).eqNullSafe(F.col("_entity"))
         & (F.col(BLOCK) == F.col("_at"))
         & (F.col(PLACE) > F.col("_end") - depth),

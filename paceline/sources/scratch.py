@@ -31,6 +31,11 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder once, so that all readers see the same rows."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows once to the shared folder and read them back.
+
+    All later readers see the same rows, survive the loss of executors, and read only
+    the columns they need.
+    """
+    path = new_folder(df.sparkSession, "pinned")
+    df.write.option("compression", "snappy").parquet(path)
+    return df.sparkSession.read.parquet(path)
