@@ -125,3 +125,22 @@ def test_other_entry_points(spark, finished, tmp_path):
         flows.run(spark, "other", other, features_path=stored)
     with pytest.raises(FileNotFoundError):
         flows.run(spark, "cv", other, features_path=str(tmp_path / "nothing"))
+
+
+def test_scoring_a_stream(spark, toy, tmp_path):
+    ready, matrix = toy
+    fitted, _ = model.train_and_predict(ready, ready, SMALL)
+    model.save_model(fitted, matrix, str(tmp_path / "model"))
+    schema = "`Athlete gender` string, x double, `Event_name_clean` string"
+    new = spark.createDataFrame([("M", 0.0, "race"), ("F", 1.0, "other")], schema)
+    new.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    scored = model.score_rows(stream, str(tmp_path / "model"), ["x"])
+    query = (
+        scored.writeStream.format("parquet")
+        .option("checkpointLocation", str(tmp_path / "state"))
+        .trigger(availableNow=True)
+        .start(str(tmp_path / "out"))
+    )
+    query.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
