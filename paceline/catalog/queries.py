@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +14,7 @@ from paceline.operators import clean, encode, folds, history, metrics, model, pr
 from paceline.operators.ordered import Prior, global_index, prior_aggregates
 from paceline.plans import flows
 from paceline.plans.race_view import TEST_YEAR, race_entities, race_raw, table
-from paceline.schema import FEATURE_COLS, RACE, RAW_SCHEMA, ROW_ID
+from paceline.schema import RACE, ROW_ID
 from paceline.sources import runlog, tables
 from paceline.sources.scratch import new_folder, pin
 
@@ -622,7 +623,7 @@ def _stored_split(spark, d) -> tuple[DataFrame, DataFrame, list[str]]:
 
 def _assembled(spark, d) -> tuple[DataFrame, DataFrame, encode.ModelMatrix]:
     train, test, cols = _stored_split(spark, d)
-    return encode.prepare_model_data(train, test, cols, keep=[ROW_ID, *cols])
+    return encode.prepare_model_data(train, test, cols, keep=[ROW_ID])
 
 
 def gbt_predict(spark, d):
@@ -649,12 +650,8 @@ def residual_by_top_feature(spark, d):
     fitted, predicted = model.train_and_predict(train, test, SMALL_TREES)
     best = model.feature_importance(fitted, matrix.names, train).first()["feature"]
     known = metrics.with_error(predicted, "label", "prediction", "residual")
-    value = F.col(best) if best in FEATURE_COLS else F.col("features")
-    if best not in FEATURE_COLS:
-        from pyspark.ml.functions import vector_to_array
-
-        value = vector_to_array("features")[matrix.names.index(best)]
-    return show(known.select(ROW_ID, value.cast("double").alias("top_feature"), "residual"))
+    value = vector_to_array("features")[matrix.names.index(best)]
+    return show(known.select(ROW_ID, value.alias("top_feature"), "residual"))
 
 
 def temporal_cv(spark, d):
@@ -728,5 +725,3 @@ PLAIN: list[Query] = [
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in PLAIN}
 QUERIES.update({f"history_{c}": _history_query(c) for c in HISTORY_COLS})
-
-__all__ = ["QUERIES", "RAW_SCHEMA"]
