@@ -1,24 +1,44 @@
-"""The registered queries of the operators for training data."""
+"""The registered queries of the operators for training data.
+
+Each applies one operator, with the parameters for production, to its whole table and
+derives the columns of the result from what the operator returns.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paceline.llm import simhash
+from paceline.llm import packing, simhash, tokenfile
+from paceline.sources.scratch import new_folder
+
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _over(table: str, digest: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: digest(_read(spark, sf_dir, table))
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "token-file")
+    tokenfile.write_token_file(_read(spark, sf_dir, "documents"), path, WORD_BPE, end_id=2)
+    return tokenfile.read_token_file(spark, path)
+
+
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.token_pieces(_read(spark, sf_dir, "documents"), WORD_BPE, end_id=1))
+
+
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(_read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op10_simhash_near_dedup": _over("documents", simhash.digest),
+    "op4_token_file": op4,
+    "op7_best_fit_packing": op7,
+    "op10_simhash_near_dedup": op10,
 }
 
 ORACLES: dict[str, str] = {}
