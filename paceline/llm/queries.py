@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paceline.llm import packing, simhash, tokenfile
+from paceline.llm import linechunks, packing, quality, simhash, tokenfile
 from paceline.sources.scratch import new_folder
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -31,6 +31,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(_read(spark, sf_dir, "documents"), WORD_BPE, end_id=1))
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(_read(spark, sf_dir, "documents"))
+
+
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linechunks.digest(_read(spark, sf_dir, "documents"))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(_read(spark, sf_dir, "documents"))
 
@@ -38,6 +46,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_file": op4,
     "op7_best_fit_packing": op7,
+    "op8_quality_rules": op8,
+    "op9_line_dedup": op9,
     "op10_simhash_near_dedup": op10,
 }
 
