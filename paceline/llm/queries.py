@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paceline.llm import linechunks, packing, quality, simhash, tokenfile
+from paceline.llm import debruijn, linechunks, packing, quality, simhash, tokenfile
 from paceline.sources.scratch import new_folder
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +21,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.digest(_read(spark, sf_dir, "documents"))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "token-file")
     tokenfile.write_token_file(_read(spark, sf_dir, "documents"), path, WORD_BPE, end_id=2)
@@ -44,6 +48,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_substring_dedup": op3,
     "op4_token_file": op4,
     "op7_best_fit_packing": op7,
     "op8_quality_rules": op8,
@@ -51,4 +56,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_near_dedup": op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_substring_dedup": debruijn.ORACLE}
