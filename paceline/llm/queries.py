@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paceline.llm import debruijn, linechunks, packing, quality, simhash, tokenfile
+from paceline.llm import debruijn, langid, linechunks, packing, quality, simhash, tokenfile
 from paceline.sources.scratch import new_folder
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -31,6 +31,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_file(spark, path)
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(_read(spark, sf_dir, "documents"))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(_read(spark, sf_dir, "documents"), WORD_BPE, end_id=1))
 
@@ -50,6 +54,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3,
     "op4_token_file": op4,
+    "op6_language_id": op6,
     "op7_best_fit_packing": op7,
     "op8_quality_rules": op8,
     "op9_line_dedup": op9,
