@@ -4,23 +4,25 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 
 #: Words the table of one Python worker may hold; it is emptied when full.
-TABLE_WORDS = 400_000
+TABLE_WORDS = 900_000
 #: Words looked up at once, and new words encoded in one call.
 SLICE, CALL = 100_000, 500
 #: Characters of text that are encoded together.
 GROUP_CHARS = 1_000_000
 MARK = "\x00"
+ENDS = b".,;:!?"
 
 
 class WordEncoder:
     """Encodes texts word by word; equal words are encoded once while the table holds them.
 
-    Right for tokenizers whose pre-tokenizer separates at white space and drops it, which
-    is tried when the file is read. Strings of special tokens are ordinary text.
+    Right for tokenizers that lower the case of letters, separate at white space and drop it,
+    which is tried when the file is read. Strings of special tokens are ordinary text.
     """
 
     def __init__(self, path: str, table_words: int = TABLE_WORDS):
@@ -29,9 +31,11 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        if self._whole(" a\n b\t") != self._whole("a") + self._whole("b") or len(self._whole(MARK)) != 1:
-            raise ValueError(f"{path}: white space is part of the tokens")
+        if self._whole(" A\n b\t") != self._whole("a") + self._whole("b") or len(self._whole(MARK)) != 1:
+            raise ValueError(f"{path}: white space or case is part of the tokens")
         self.mark, self.table_words = self._whole(MARK)[0], table_words
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[k for word, k in self.tokenizer.get_vocab().items() if word.endswith("</w>")]] = True
         self._empty()
 
     def _whole(self, text: str) -> list[int]:
@@ -39,44 +43,80 @@ class WordEncoder:
 
     def _empty(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.start = np.zeros(self.table_words + SLICE, np.int64)
-        self.length = np.zeros(self.table_words + SLICE, np.int32)
+        self.start = np.zeros(self.table_words + 3 * SLICE, np.int64)
+        self.length = np.zeros(self.table_words + 3 * SLICE, np.int32)
         self.ids, self.used = np.zeros(4 * SLICE, np.uint32), 0
 
-    def _new(self, words: list[bytes]) -> Iterator[np.ndarray]:
-        """Ids of each word: many words go into one text, with a mark between them."""
-        plain = [w.decode() for w in words]
-        for i in range(0, len(plain), CALL):
-            part = plain[i : i + CALL]
-            if any(MARK in w for w in part):
-                yield from (np.array(self._whole(w), np.uint32) for w in part)
-            else:
-                ids = np.array(self._whole(f" {MARK} ".join(part)), np.uint32)
-                cuts = np.flatnonzero(ids == self.mark)
-                yield from (ids[a:b] for a, b in zip([0, *(cuts + 1)], [*cuts, len(ids)]))
-
-    def _learn(self, words: list[bytes]) -> None:
+    def _marked(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word: the words go into one text, with a mark between them."""
+        if any(MARK in w for w in words):
+            return [np.array(self._whole(w), np.uint32) for w in words]
+        ids = np.array(self._whole(f" {MARK} ".join(words)), np.uint32)
+        marks = np.flatnonzero(ids == self.mark)
+        return [ids[a:b] for a, b in zip([0, *(marks + 1)], [*marks, len(ids)])]
+
+    def _letters(self, words: list[str]) -> list[np.ndarray]:
+        """The same for words of letters, each of which has one id that ends a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words):
+            return self._marked(words)
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _add(self, words: list[bytes], found: list[np.ndarray]) -> None:
+        if not words:
+            return
         first = len(self.place)
-        found = list(self._new(words))
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         end = self.used + int(sizes.sum())
         if end > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.zeros(end, np.uint32)])
-        if found:
-            self.ids[self.used : end] = np.concatenate(found)
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(end, len(self.ids)), np.uint32)])
+        self.ids[self.used : end] = np.concatenate(found)
         self.start[first : first + len(found)] = self.used + np.cumsum(sizes) - sizes
         self.length[first : first + len(found)] = sizes
         self.used = end
         self.place.update(zip(words, range(first, first + len(words))))
 
+    def _ids(self, word: bytes) -> np.ndarray:
+        k = self.place[word]
+        return self.ids[self.start[k] : self.start[k] + self.length[k]]
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode new words; of letters with end marks after them, the two parts."""
+        stems: dict[bytes, None] = {}
+        parts = []
+        for word in words:
+            stem = word.rstrip(ENDS)
+            if stem != word and stem.decode().isalpha():
+                parts.append((word, stem))
+            else:
+                stem = word
+            if stem not in self.place:
+                stems[stem] = None
+        letters, others = [], []
+        for stem in stems:
+            (letters if stem.decode().isalpha() else others).append(stem)
+        for group, encode in ((letters, self._letters), (others, self._marked)):
+            for i in range(0, len(group), CALL):
+                part = group[i : i + CALL]
+                self._add(part, encode([w.decode() for w in part]))
+        for tail in {word[len(stem) :] for word, stem in parts}:
+            if tail not in self.place:
+                self._add([tail], self._marked([tail.decode()]))
+        self._add([w for w, _ in parts], [np.concatenate([self._ids(s), self._ids(w[len(s) :])]) for w, s in parts])
+
     def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a slice of words in a row, and how many each word has."""
-        new = list({w for w in words if w not in self.place})
-        if len(self.place) + len(new) > self.table_words + SLICE:
-            self._empty()
-            new = list(set(words))
-        self._learn(new)
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            new = dict.fromkeys(words[i] for i in missing)
+            if len(self.place) + 2 * len(new) > self.table_words:
+                self._empty()
+                new = dict.fromkeys(words)
+                missing = range(len(words))
+            self._learn(list(new))
+            at[missing] = [self.place[words[i]] for i in missing]
         sizes = self.length[at].astype(np.int64)
         ends = np.cumsum(sizes)
         where = np.repeat(self.start[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
@@ -87,7 +127,7 @@ class WordEncoder:
         words: list[bytes] = []
         bounds = [0]
         for text in texts:
-            words += (text or "").encode().split()
+            words += (text or "").encode().lower().split()
             bounds.append(len(words))
         parts = [self._words(words[i : i + SLICE]) for i in range(0, len(words), SLICE)]
         if not parts:
