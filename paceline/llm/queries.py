@@ -11,9 +11,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paceline.llm import debruijn, langid, linechunks, packing, quality, simhash, tokenfile
+from paceline.llm import bytebpe, debruijn, langid, linechunks, packing, quality, simhash, tokenfile
 from paceline.sources.scratch import new_folder
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -31,6 +32,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_file(spark, path)
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.digest(_read(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(_read(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3,
     "op4_token_file": op4,
+    "op5_byte_bpe": op5,
     "op6_language_id": op6,
     "op7_best_fit_packing": op7,
     "op8_quality_rules": op8,
