@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paceline.llm import bytebpe, debruijn, langid, linechunks, packing, quality, simhash, tokenfile
+from paceline.llm import bytebpe, debruijn, langid, linechunks, multiindex, packing, quality, simhash, tokenfile
 from paceline.sources.scratch import new_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -22,6 +22,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.digest(_read(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_near_dedup": op1,
     "op3_substring_dedup": op3,
     "op4_token_file": op4,
     "op5_byte_bpe": op5,
@@ -67,4 +72,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_near_dedup": op10,
 }
 
-ORACLES: dict[str, str] = {"op3_substring_dedup": debruijn.ORACLE}
+ORACLES: dict[str, str] = {"op1_embedding_near_dedup": multiindex.ORACLE, "op3_substring_dedup": debruijn.ORACLE}
