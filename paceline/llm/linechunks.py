@@ -59,6 +59,7 @@ def drop_repeated_chunks(
     hold is combined before the shuffle, and joins may be split.
     """
     docs = _keyed(docs, id_col, text_col).withColumn("_text", F.col(text_col))
+    # The lists per text are joined by sorting at every size; their size follows the input.
     place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_key", "start")
     found = pin(chunks(docs, mean_lines).distinct())
     first = found.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
@@ -66,7 +67,7 @@ def drop_repeated_chunks(
     again = found.join(first, "hash").select("_id", "_key", "start", "size", "hash", (place == F.col("first")).alias("is_first"))
     again = pin(again)
     span = F.struct("start", "size", "hash", "is_first")
-    lists = again.groupBy("_id", "_key").agg(F.collect_list(span).alias("spans"))
+    lists = again.groupBy("_id", "_key").agg(F.collect_list(span).alias("spans")).hint("merge")
     spans = docs.select("_id", "_key", "_text").join(lists, _same_row(docs, lists)).select(docs["_id"], docs["_key"], "_text", "spans")
     lines = spans.select("_id", "_key", F.split("_text", "\n").alias("lines"), "spans")
     pieces = F.transform(
@@ -82,7 +83,7 @@ def drop_repeated_chunks(
     pieces = lines.select("_id", "_key", F.inline(pieces))
     originals = pieces.where("is_first").groupBy("hash").agg(F.first("bytes").alias("original"))
     gone = pieces.where("not is_first").join(originals, "hash").where("bytes = original")
-    gone = gone.groupBy("_id", "_key").agg(F.array_sort(F.collect_set(F.struct("start", "size"))).alias("_gone"))
+    gone = gone.groupBy("_id", "_key").agg(F.array_sort(F.collect_set(F.struct("start", "size"))).alias("_gone")).hint("merge")
     out = docs.join(gone, _same_row(docs, gone), "left").drop(gone["_id"], gone["_key"])
     out = out.withColumn("_lines", F.split("_text", "\n"))
     end = lambda j: F.get("_gone", j)["start"] + F.get("_gone", j)["size"]
