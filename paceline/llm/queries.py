@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paceline.llm import bytebpe, debruijn, langid, linechunks, multiindex, packing, quality, simhash, tokenfile
+from paceline.llm import bytebpe, debruijn, langid, linechunks, multiindex, packing, pii, quality, simhash, tokenfile
 from paceline.sources.scratch import new_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -26,6 +26,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(_read(spark, sf_dir, "documents"))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.digest(_read(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1,
+    "op2_pii": op2,
     "op3_substring_dedup": op3,
     "op4_token_file": op4,
     "op5_byte_bpe": op5,
