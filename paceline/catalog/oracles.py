@@ -154,6 +154,13 @@ folded AS (
 TO_CLEANED = [RAW, _cleaned()]
 TO_FEATURES = [*TO_CLEANED, HISTORY]
 TO_SPLIT = [*TO_FEATURES, SPLIT]
+# Every seventh athlete as one entity, -1 here and null in the result.
+TO_NULLABLE = [
+    RAW,
+    _cleaned("known"),
+    "cleaned AS (SELECT * REPLACE (CASE WHEN athlete_id % 7 = 0 THEN -1 ELSE athlete_id END AS athlete_id) FROM known)",
+    HISTORY,
+]
 TO_PREDICTIONS = [*TO_FEATURES, PREDICTIONS]
 TO_FOLDS = [*TO_CLEANED, FOLDED]
 
@@ -505,6 +512,17 @@ FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id),
     "split_target_event_test": _sql(
         TO_SPLIT, "SELECT row_id, athlete_id, event_year, cum_num_races FROM test"
     ),
+    "split_null_entity_train": _sql(
+        [*TO_NULLABLE, SPLIT], "SELECT row_id, nullif(athlete_id, -1) AS athlete_id, event_year, cum_num_races FROM train"
+    ),
+    "validate_null_entity": _sql(
+        [
+            *TO_NULLABLE,
+            "checked AS (SELECT * REPLACE (cum_num_races + 1 AS cum_num_races) FROM features WHERE athlete_id = -1)",
+            ISSUES,
+        ],
+        'SELECT type, "year", count(*) AS issues FROM issues GROUP BY ALL',
+    ),
     "split_year_train": _sql(TO_CLEANED, "SELECT row_id, event_year FROM cleaned WHERE event_year < 2000"),
     "split_year_test": _sql(
         TO_CLEANED,

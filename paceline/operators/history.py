@@ -21,9 +21,13 @@ def history_features(
     recent: int = 3,
     max_group_rows: int = MAX_GROUP_ROWS,
     size_source: DataFrame | None = None,
+    literal: bool = True,
 ) -> DataFrame:
     """Add the eleven history and age features.
 
+    ``event_pattern`` is text that an event name contains; a regular expression with
+    ``literal=False``.
+
     All window features share one partitioning and one order, so Spark plans a single
     exchange and a single sort for entities of ordinary size.
     """
@@ -39,7 +43,9 @@ def history_features(
         Prior("cum_ws_finishes", "sum", hit),
         Prior("recent_avg_distance", "recent_mean", race.distance, recent),
     ]
-    marked = df.withColumn(hit, F.col(race.event).rlike(event_pattern).cast("bigint"))
+    event = F.col(race.event)
+    found = event.contains(event_pattern) if literal else event.rlike(event_pattern)
+    marked = df.withColumn(hit, found.cast("bigint"))
     out = prior_aggregates(
         marked, race.entity, order, specs, max_group_rows, size_source, unique=ROW_ID in order
     ).drop(hit)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import product
 
 from pyspark import StorageLevel
@@ -76,14 +78,24 @@ def train_and_predict(
 ) -> tuple[GBTRegressionModel, DataFrame]:
     """Fit on the assembled ``train`` and add predictions to ``test``."""
     shared_dir(train.sparkSession)
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with _cached(train):
         model = make_regressor(params).fit(train)
-    finally:
-        train.unpersist()
     return model, model.transform(test)
 
 
+@contextmanager
+def _cached(*tables: DataFrame) -> Iterator[None]:
+    """Keep tables cached meanwhile; what the caller has cached stays so afterwards."""
+    own = [t for t in tables if not (t.storageLevel.useMemory or t.storageLevel.useDisk)]
+    for t in own:
+        t.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield
+    finally:
+        for t in own:
+            t.unpersist()
+
+
 def evaluate(predicted: DataFrame) -> DataFrame:
     return regression_metrics(predicted, LABEL, PREDICTION)
 
@@ -109,8 +121,9 @@ def temporal_cv(
         )
         model, predicted = train_and_predict(x_train, x_val, params)
         m = evaluate(predicted).first()
-        rows.append((i, m["count"], m["MAE"], m["RMSE"]))
-    return train.sparkSession.createDataFrame(rows, "fold int, n_validation bigint, mae double, rmse double")
+        rows.append((i, x_train.count(), m["count"], m["MAE"], m["RMSE"]))
+    kinds = "fold int, n_train bigint, n_validation bigint, mae double, rmse double"
+    return train.sparkSession.createDataFrame(rows, kinds)
 
 
 def cv_summary(scores: DataFrame) -> DataFrame:
@@ -157,27 +170,31 @@ def grid_search(
     """Try every combination, lowest MAE wins; returns the best settings and all scores.
 
     ``selection`` says what is scored: the training rows themselves (``train``), the
-    last rows in ``order`` (``holdout``), or expanding-window folds (``cv``).
+    last rows in ``order`` (``holdout``), or expanding-window folds (``cv``).  The latter two
+    need an ``order``: without one, nothing says which rows come later.
     """
+    if selection in ("holdout", "cv") and not order:
+        raise ValueError(f"selection {selection!r} needs an order")
     grid = {k: list(v) for k, v in (grid or DEFAULT_GRID).items()}
     if selection == "train":
         pairs = [(train, train)]
     elif selection == "holdout":
         blocks = max(2, round(1 / holdout_share))
-        parts = kfold_ranges(train, order or [LABEL], blocks, unique=bool(order))
+        parts = kfold_ranges(train, order, blocks)
         pairs = [(parts.filter(F.col(FOLD) < blocks - 1), parts.filter(F.col(FOLD) == blocks - 1))]
     elif selection == "cv":
-        parts = time_folds(train, order or [LABEL], folds, unique=bool(order))
+        parts = time_folds(train, order, folds)
         pairs = [(parts.filter(F.col(FOLD) < i), parts.filter(F.col(FOLD) == i)) for i in range(folds)]
     else:
         raise ValueError(f"unknown selection {selection!r}")
 
     evaluator = RegressionEvaluator(labelCol=LABEL, predictionCol=PREDICTION, metricName="mae")
     tried = []
-    for values in product(*grid.values()):
-        params = dict(zip(grid, values))
-        scores = [evaluator.evaluate(train_and_predict(fit, score, params)[1]) for fit, score in pairs]
-        tried.append((params, sum(scores) / len(scores)))
+    with _cached(*{id(t): t for pair in pairs for t in pair}.values()):
+        for values in product(*grid.values()):
+            params = dict(zip(grid, values))
+            scores = [evaluator.evaluate(train_and_predict(fit, score, params)[1]) for fit, score in pairs]
+            tried.append((params, sum(scores) / len(scores)))
     best = min(tried, key=lambda t: t[1])[0]
     rows = [(", ".join(f"{k}={v}" for k, v in p.items()), float(s)) for p, s in tried]
     table = train.sparkSession.createDataFrame(rows, "params string, mae double")

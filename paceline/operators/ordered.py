@@ -14,7 +14,7 @@ Two building blocks:
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -139,7 +139,32 @@ def prior_aggregates(
     A null entity is a group like any other.  ``size_source`` is a cheaper table to
     measure group sizes on first, whose groups are at least as large.  Say
     ``unique=False`` when ``order`` does not tell all rows of an entity apart.
+
+    Both ways of computing give one schema: the input columns that keep their names, then
+    the aggregates.  Sums and means of decimals are doubles, the others keep the input type.
     """
+    names = [s.name for s in specs]
+    kinds = dict(df.dtypes)
+    summed = {s.column for s in specs if s.kind in ("sum", "mean", "recent_mean")}
+    as_double = {c: f"_double_{c}" for c in summed if kinds[c].startswith("decimal")}
+    wide = df.withColumns({new: F.col(c).cast("double") for c, new in as_double.items()})
+    wide_specs = [
+        replace(s, column=as_double[s.column]) if s.kind in ("sum", "mean", "recent_mean") and s.column in as_double else s
+        for s in specs
+    ]
+    out = _prior_aggregates(wide, entity, order, wide_specs, max_group_rows, size_source, unique)
+    return out.select(*[c for c in df.columns if c not in names], *names)
+
+
+def _prior_aggregates(
+    df: DataFrame,
+    entity: str,
+    order: list[str],
+    specs: list[Prior],
+    max_group_rows: int,
+    size_source: DataFrame | None,
+    unique: bool,
+) -> DataFrame:
     for source in ([df] if size_source is None else [size_source, df]):
         sizes = group_sizes(source, entity, max_group_rows)
         if sizes.largest <= max_group_rows:
@@ -151,7 +176,7 @@ def prior_aggregates(
     small_part = _prior_by_window(df.join(large, same, "left_anti"), entity, order, specs)
     large_rows = df.join(large, same, "left_semi")
     large_part = _prior_by_blocks(large_rows, entity, order, specs, sizes, max_group_rows, unique)
-    return small_part.unionByName(large_part)
+    return small_part.unionByName(large_part)  # by name: a replaced column may stand elsewhere
 
 
 def _prior_by_window(df: DataFrame, entity: str, order: list[str], specs: list[Prior]) -> DataFrame:
@@ -255,7 +280,7 @@ def _prior_by_blocks(
             out[s.name] = _mean_of_latest(s, recent[s.column])
         else:
             out[s.name] = state(f"_{s.kind}_{s.column}")
-    return rows.withColumns(out).select(*df.columns, *out)
+    return rows.withColumns(out).select(*[c for c in df.columns if c not in out], *out)
 
 
 def _with_block_tails(

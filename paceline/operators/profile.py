@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from paceline.functions.numeric import normal_quantile
 from paceline.operators.metrics import with_error
-from paceline.operators.ordered import global_index, range_blocks, weighted_ranks
+from paceline.operators.ordered import broadcast_if, global_index, range_blocks, weighted_ranks
+from paceline.sources.scratch import pin
 
 
 def _long(wide: DataFrame, entries: list[Column]) -> DataFrame:
@@ -137,13 +138,18 @@ def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
 # ---- distributions ----------------------------------------------------------
 
 
+def _finite(df: DataFrame, column: str, *keep: str) -> DataFrame:
+    """The column as ``_v`` without nulls, NaN and infinities."""
+    rows = df.select(*keep, F.col(column).cast("double").alias("_v"))
+    return rows.filter(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") < float("inf")))
+
+
 def histogram(df: DataFrame, column: str, bins: int = 30, density: bool = False) -> DataFrame:
     """Equal-width bins between minimum and maximum; the last bin is closed.
 
-    Empty bins show with a zero.  A constant column gets the unit interval around it.
+    Nulls, NaN and infinities are in no bin.  Empty bins show with a zero.  A constant column gets the unit interval around it.
     """
-    value = F.col(column).cast("double")
-    finite = df.select(value.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    finite = _finite(df, column)
     lo, hi = finite.agg(F.min("_v"), F.max("_v")).first()
     if lo is None:
         return df.sparkSession.createDataFrame(
@@ -181,8 +187,7 @@ def exact_quantiles(
 
 def _placed_values(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Distinct values per group with their counts, in pinned range partitions."""
-    values = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    counted = values.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    counted = _finite(df, value, *by).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
     return range_blocks(counted, [*by, "_v"])
 
 
@@ -218,8 +223,9 @@ def box_stats(df: DataFrame, value: str, by: list[str] | None = None, reach: flo
     same = F.lit(True)
     for c, k in names.items():
         same = same & F.col(c).eqNullSafe(F.col(k))
-    fences = quartiles.withColumnsRenamed(names)
-    joined = placed.join(fences, same)
+    # One row per group: broadcast when they are counted to be few.
+    fences = pin(quartiles.withColumnsRenamed(names))
+    joined = placed.join(broadcast_if(fences, fences.count()), same)
     spread = F.col("q3") - F.col("q1")
     inside = F.col("_v").between(F.col("q1") - reach * spread, F.col("q3") + reach * spread)
     return joined.groupBy(*keys).agg(
@@ -344,10 +350,11 @@ def qq_fit(points: DataFrame) -> DataFrame:
 def kde_curve(df: DataFrame, value: str, points: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density on an even grid, with Scott's bandwidth.
 
-    Every row contributes to every grid point.  The grid points of a row are made and
-    summed inside its map task, so what is shuffled is one partial sum per grid point.
+    Every row contributes to every grid point; equal values are counted first and weighted.
+    Each grid point is one sum of a single aggregation, so rows are never multiplied and one
+    partial row per task is shuffled.
     """
-    values = df.select(F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    values = _finite(df, value)
     n, lo, hi, sd = values.agg(
         F.count("_v"), F.min("_v"), F.max("_v"), F.stddev_samp("_v")
     ).first()
@@ -356,8 +363,13 @@ def kde_curve(df: DataFrame, value: str, points: int = 200, cut: float = 3.0) ->
     width = sd * n ** (-1.0 / 5)
     start = lo - cut * width
     step = (hi + cut * width - start) / (points - 1)
-    grid = values.select("_v", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-    z = (F.lit(start) + F.col("point") * step - F.col("_v")) / width
+    counted = values.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
     scale = 1.0 / (n * width * (2 * 3.141592653589793) ** 0.5)
-    sums = grid.groupBy("point").agg((F.sum(F.exp(-0.5 * z * z)) * scale).alias("density"))
+
+    def density(point: int) -> Column:
+        z = (F.lit(start + point * step) - F.col("_v")) / width
+        return F.sum(F.col("_n") * F.exp(-0.5 * z * z)) * scale
+
+    wide = counted.agg(F.array(*[density(k) for k in range(points)]).alias("density"))
+    sums = wide.select(F.posexplode("density").alias("point", "density"))
     return sums.select("point", (F.lit(start) + F.col("point") * step).alias("x"), "density")

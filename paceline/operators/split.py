@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from paceline.operators.history import TARGET_EVENT
 from paceline.schema import FEATURE_COLS, RACE, RaceColumns
 
-TEST_YEAR = 2022
+TEST_YEAR = 2022  # fixed value
 
 
-def _matches(column: str, pattern: str, case_insensitive: bool) -> Column:
-    return F.col(column).rlike(("(?i)" if case_insensitive else "") + pattern)
+def matches(column: str, event: str, case_insensitive: bool = False, literal: bool = True) -> Column:
+    """Whether a name contains ``event`` as it stands, or with ``literal=False`` as a regular expression."""
+    if not literal:
+        return F.col(column).rlike(("(?i)" if case_insensitive else "") + event)
+    return F.lower(column).contains(event.lower()) if case_insensitive else F.col(column).contains(event)
 
 
 def split_by_target_event(
@@ -22,17 +25,20 @@ def split_by_target_event(
     race: RaceColumns = RACE,
     count_col: str = "cum_num_races",
     case_insensitive: bool = False,
+    literal: bool = True,
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """Test on one event of one year; train on what those entities did before it
     and on all rows of everyone else.
 
-    An entity with several test rows is cut at the last of them.  The join is left
-    to adaptive execution, since nothing bounds the number of test entities.
+    An entity with several test rows is cut at the last of them; a null entity is one like
+    any other.  The join is left to adaptive execution, since nothing bounds the number of
+    test entities.
     """
-    is_test = (F.col(race.year) == test_year) & _matches(race.event, target_event, case_insensitive)
+    is_test = (F.col(race.year) == test_year) & matches(race.event, target_event, case_insensitive, literal)
     test = df.filter(is_test)
     cutoffs = test.groupBy(race.entity).agg(F.max(count_col).alias("_cutoff"))
-    joined = df.join(cutoffs, race.entity, "left")
+    cutoffs = cutoffs.withColumnRenamed(race.entity, "_test_entity")
+    joined = df.join(cutoffs, F.col(race.entity).eqNullSafe(F.col("_test_entity")), "left")
     keep = F.col("_cutoff").isNull() | (F.col(count_col) < F.col("_cutoff"))
     train = joined.filter(keep).select(*df.columns)
     return train, test, list(FEATURE_COLS)
@@ -44,10 +50,11 @@ def split_by_year(
     target_event: str | None = None,
     race: RaceColumns = RACE,
     case_insensitive: bool = False,
+    literal: bool = True,
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """Test on one year (optionally one event of it); train on all earlier years."""
     test = df.filter(F.col(race.year) == test_year)
     if target_event:
-        test = test.filter(_matches(race.event, target_event, case_insensitive))
+        test = test.filter(matches(race.event, target_event, case_insensitive, literal))
     train = df.filter(F.col(race.year) < test_year)
     return train, test, list(FEATURE_COLS)

@@ -52,7 +52,7 @@ def temporal_issues(
         F.col(race.year).alias("_when"),
         F.col(count_col).alias("_count"),
         F.col(mean_col).alias("_avg"),
-    ).join(past, (F.col("_id") == F.col("_entity")) & (F.col("_when") == F.col("_year")))
+    ).join(past, F.col("_id").eqNullSafe(F.col("_entity")) & (F.col("_when") == F.col("_year")))
     races, count = F.col("_races").cast("double"), F.col("_count").cast("double")
     off = F.abs(F.col("_avg") - F.col("_mean"))
     slack = tolerance * F.greatest(F.lit(1.0), F.abs(F.col("_mean")))
@@ -142,7 +142,8 @@ def split_issues(
         *_issue(F.col("_f.k"), nothing, nothing, nothing, F.col("_f.a"), F.col("_f.m"))
     )
     late = train.filter(year >= test_year).groupBy(race.entity).agg(F.max(year).alias("_latest"))
-    leaked = late.join(test.select(race.entity).distinct(), race.entity, "left_semi").select(
+    tested = test.select(F.col(race.entity).alias("_tested")).distinct()
+    leaked = late.join(tested, F.col(race.entity).eqNullSafe(F.col("_tested")), "left_semi").select(
         *_issue(
             F.lit("future_data_in_training"), F.col(race.entity), F.col("_latest"), nothing, nothing, nothing
         )

@@ -62,6 +62,21 @@ def test_kfold_and_grid(toy):
         assert tried.first().params.startswith(f"n_estimators={best['n_estimators']}")
     with pytest.raises(ValueError):
         model.grid_search(ready, grid, "other")
+    for selection in ("holdout", "cv"):  # the label is no order
+        with pytest.raises(ValueError, match="order"):
+            model.grid_search(ready, grid, selection)
+
+
+def test_cached_input_stays_cached(toy):
+    ready, _ = toy
+    mine = ready.persist()
+    try:
+        model.train_and_predict(mine, mine, SMALL)
+        assert mine.storageLevel.useMemory
+    finally:
+        mine.unpersist()
+    model.train_and_predict(ready, ready, SMALL)
+    assert not ready.storageLevel.useMemory
 
 
 @pytest.fixture(scope="module")
