@@ -169,6 +169,30 @@ def _sql(parts: list[str], select: str) -> str:
     return f"WITH {','.join(parts)}\n{select}"
 
 
+# One tree over six values of one input predicts the mean label of each.
+TREE_ROWS = [
+    *TO_FEATURES,
+    "points AS (SELECT row_id, event_year, least(cum_num_races, 5) AS x, pace AS label FROM features)",
+    "train AS (SELECT * FROM points WHERE event_year < 2000)",
+    "test AS (SELECT * FROM points WHERE event_year >= 2000)",
+]
+TREE_TEST = [
+    *TREE_ROWS,
+    "fit AS (SELECT x, avg(label) AS prediction FROM train GROUP BY x)",
+    "predicted AS (SELECT row_id, label, prediction FROM test JOIN fit USING (x))",
+]
+TREE_FOLDS = [
+    *TREE_ROWS,
+    "i AS (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS k, count(*) OVER () AS n FROM train)",
+    """f AS (SELECT *, CASE WHEN k < (n % 5) * (n // 5 + 1) THEN k // (n // 5 + 1)
+  ELSE n % 5 + (k - (n % 5) * (n // 5 + 1)) // (n // 5) END AS fold FROM i)""",
+    "fit AS (SELECT o.fold, f.x, avg(f.label) AS prediction FROM range(5) o(fold), f WHERE f.fold <> o.fold GROUP BY ALL)",
+    "root AS (SELECT o.fold, avg(f.label) AS mean FROM range(5) o(fold), f WHERE f.fold <> o.fold GROUP BY ALL)",
+    """scored AS (SELECT f.fold, avg(abs(label - prediction)) AS mae, avg(abs(label - mean)) AS mean_mae
+  FROM f JOIN fit ON f.fold = fit.fold AND f.x = fit.x JOIN root ON f.fold = root.fold GROUP BY f.fold)""",
+]
+
+
 def _r(*columns: str) -> str:
     return ", ".join(f"round({c}, 6) AS {c}" for c in columns)
 
@@ -729,6 +753,21 @@ WHERE substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 6) < '{int(0.05 * 16**6):06x}'
         """SELECT round(regr_slope(ordered, theoretical), 6) AS slope,
   round(regr_intercept(ordered, theoretical), 6) AS intercept, round(corr(ordered, theoretical), 6) AS r
 FROM points""",
+    ),
+    "tree_predict": _sql(
+        TREE_TEST, "SELECT row_id, round(label, 6) AS label, round(prediction, 6) AS prediction FROM predicted"
+    ),
+    "tree_metrics": _sql(TREE_TEST, f"SELECT {_metrics('label', 'prediction')} FROM predicted"),
+    "tree_importance": "SELECT 'x' AS feature, 1.0::DOUBLE AS importance",
+    "tree_kfold": _sql(
+        TREE_FOLDS,
+        """SELECT round(avg(-mae), 6) AS mean, round(stddev_pop(-mae), 6) AS std, round(min(-mae), 6) AS min,
+  round(max(-mae), 6) AS max FROM scored""",
+    ),
+    "tree_grid": _sql(
+        TREE_FOLDS,
+        """SELECT 64 AS num_leaves, round(mae, 6) AS mae FROM scored WHERE fold = 4
+UNION ALL SELECT 1, round(mean_mae, 6) FROM scored WHERE fold = 4""",
     ),
     "kde_curve": _sql(
         [

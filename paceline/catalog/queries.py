@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,7 @@ SHORT = {
     "Race_Pace_Mean_Encoded": "encoded",
 }
 FOLD_ORDER = [RACE.year, ROW_ID]
+ONE_TREE = {"n_estimators": 1, "num_leaves": 64, "subsample": 1.0, "colsample_bytree": 1.0}
 EVENT_BLOCK_ROWS = 2000
 SMALL_TREES = {"n_estimators": 5, "num_leaves": 8, "learning_rate": 0.3}
 
@@ -64,9 +66,10 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.history_features(cleaned(spark, sf_dir), size_source=race_entities(spark, sf_dir))
 
 
-def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feature table written once, for queries that read it several times."""
-    return pin(features(spark, sf_dir))
+def stored_features(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The feature table (or the columns asked for) written once, for queries that read it several times."""
+    found = features(spark, sf_dir)
+    return pin(found.select(*columns) if columns else found)
 
 
 def target_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -646,6 +649,48 @@ def _assembled(spark, d) -> tuple[DataFrame, DataFrame, encode.ModelMatrix]:
     return encode.prepare_model_data(train, test, cols, keep=[ROW_ID])
 
 
+def _one_tree_input(spark, d) -> DataFrame:
+    """One input with six values, so that one deep tree predicts the mean label of each value."""
+    known = stored_features(spark, d, ROW_ID, RACE.year, RACE.pace, "cum_num_races")
+    x = F.least("cum_num_races", F.lit(5)).cast("double")
+    rows = known.select(ROW_ID, RACE.year, x.alias("x"), F.col(RACE.pace).alias(encode.LABEL))
+    return VectorAssembler(inputCols=["x"], outputCol=encode.FEATURES).transform(rows)
+
+
+def _one_tree_split(spark, d) -> tuple[DataFrame, DataFrame]:
+    rows = _one_tree_input(spark, d)
+    return rows.filter(F.col(RACE.year) < TEST_YEAR), rows.filter(F.col(RACE.year) >= TEST_YEAR)
+
+
+def tree_predict(spark, d):
+    train, test = _one_tree_split(spark, d)
+    _, predicted = model.train_and_predict(train, test, ONE_TREE)
+    return show(predicted, ROW_ID, "label", "prediction")
+
+
+def tree_metrics(spark, d):
+    train, test = _one_tree_split(spark, d)
+    return show(model.evaluate(model.train_and_predict(train, test, ONE_TREE)[1]))
+
+
+def tree_importance(spark, d):
+    train, test = _one_tree_split(spark, d)
+    return show(model.feature_importance(model.train_and_predict(train, test, ONE_TREE)[0], ["x"], train))
+
+
+def tree_kfold(spark, d):
+    train, _ = _one_tree_split(spark, d)
+    return show(model.kfold_evaluation(train, [ROW_ID], 5, ONE_TREE)[1])
+
+
+def tree_grid(spark, d):
+    """A leaf alone, which predicts the mean, against the deep tree; the last fifth decides."""
+    train, _ = _one_tree_split(spark, d)
+    grid = {**{k: [v] for k, v in ONE_TREE.items()}, "num_leaves": [1, 64]}
+    _, tried = model.grid_search(train, grid, "holdout", [ROW_ID])
+    return show(tried.select(F.regexp_extract("params", r"num_leaves=(\d+)", 1).cast("int").alias("num_leaves"), "mae"))
+
+
 def gbt_predict(spark, d):
     train, test, _ = _assembled(spark, d)
     _, predicted = model.train_and_predict(train, test, SMALL_TREES)
@@ -738,7 +783,7 @@ PLAIN: list[Query] = [
     validate_split_wrong_year, validate_split_summary, validate_report, null_profile, inspect_columns,
     column_bytes, top_values, rows_over_time, stage_counts, histogram, histogram_density, box_stats,
     category_distribution, quantiles_by_flag, scatter_sample, binned_pairs, correlations,
-    top_correlations, residual_histogram, qq_points, qq_fit, kde_curve, gbt_predict, gbt_metrics,
+    top_correlations, residual_histogram, qq_points, qq_fit, kde_curve, tree_predict, tree_metrics, tree_importance, tree_kfold, tree_grid, gbt_predict, gbt_metrics,
     feature_importance, residual_by_top_feature, temporal_cv, kfold_eval, grid_search,
     score_saved_model, run_log, full_run,
 ]
