@@ -459,14 +459,12 @@ FROM raw""",
     ),
     "csv_round_trip": _sql(
         [RAW],
-        """SELECT event_year, count(*) AS rows, count(distance_text) AS with_distance,
-  count(birth_year) AS with_birth_year, CAST(0 AS BIGINT) AS with_club, CAST(sum(finishers) AS BIGINT) AS finishers,
-  CAST(sum(athlete_id) AS BIGINT) AS athlete_sum FROM raw GROUP BY event_year""",
+        "SELECT athlete_id, event_year, event_name, distance_text, performance, gender, finishers, birth_year FROM raw",
     ),
     "stage_round_trip": _sql(
         TO_CLEANED,
         """SELECT row_id, event_year, event_name_clean, round(pace, 6) AS pace_min_per_km
-FROM cleaned WHERE event_year >= 1998""",
+FROM cleaned""",
     ),
     "keep_distance_races": _sql([RAW], f"SELECT row_id, distance_text FROM raw WHERE {KEEP_DISTANCE}"),
     "drop_named_events": _sql([RAW], f"SELECT row_id, event_name FROM raw WHERE {KEEP_EVENT}"),
@@ -478,8 +476,8 @@ FROM cleaned WHERE event_year >= 1998""",
         """SELECT row_id, athlete_id, gender FROM raw WHERE athlete_id IN (
   SELECT athlete_id FROM raw GROUP BY athlete_id HAVING count(DISTINCT gender) = 1)""",
     ),
-    "single_valued_events": """SELECT user_id, count(*) AS rows FROM events
-GROUP BY user_id HAVING count(DISTINCT event_type) = 1""",
+    "single_valued_events": """SELECT l_orderkey, count(*) AS rows FROM lineitem
+GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) = 1""",
     "conflicting_entities_removed": _sql(
         [RAW],
         """SELECT row_id, athlete_id FROM raw WHERE athlete_id NOT IN (
@@ -581,7 +579,7 @@ WHERE v.fold >= 0""",
     "category_codes": _sql(
         TO_CLEANED,
         """SELECT row_id, CAST(dense_rank() OVER (ORDER BY event_name_clean) - 1 AS INTEGER) AS code
-FROM cleaned WHERE event_year <= 2000""",
+FROM cleaned""",
     ),
     "one_hot": """WITH l AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM
   (SELECT DISTINCT o_orderpriority AS v FROM orders WHERE o_orderdate < '2000-01-01'))
