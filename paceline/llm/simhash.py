@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from itertools import chain, product
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
