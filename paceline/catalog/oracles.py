@@ -466,6 +466,12 @@ FROM raw""",
         """SELECT row_id, event_year, event_name_clean, round(pace, 6) AS pace_min_per_km
 FROM cleaned""",
     ),
+    "predictions_csv_round_trip": _sql(
+        TO_PREDICTIONS,
+        """SELECT round(y_true, 6) AS actual_pace, round(y_pred, 6) AS predicted_pace, round(y_true - y_pred, 6) AS error
+FROM predictions""",
+    ),
+    "importance_csv_round_trip": "SELECT 'x' AS feature, 1.0::DOUBLE AS importance",
     "keep_distance_races": _sql([RAW], f"SELECT row_id, distance_text FROM raw WHERE {KEEP_DISTANCE}"),
     "drop_named_events": _sql([RAW], f"SELECT row_id, event_name FROM raw WHERE {KEEP_EVENT}"),
     "missing_required": _sql(

@@ -222,6 +222,22 @@ def stage_round_trip(spark, d):
     return show(tables.read_stage(spark, path), ROW_ID, RACE.year, RACE.event_clean, RACE.pace)
 
 
+def predictions_csv_round_trip(spark, d):
+    """Actual, predicted and error columns written as CSV and read back."""
+    path = new_folder(spark, "predictions-csv")
+    tables.write_predictions_csv(baseline_predictions(spark, d), path, "y_true", "y_pred")
+    kinds = "actual_pace double, predicted_pace double, error double"
+    return show(spark.read.schema(kinds).option("header", True).csv(path))
+
+
+def importance_csv_round_trip(spark, d):
+    train, test = _one_tree_split(spark, d)
+    fitted, _ = model.train_and_predict(train, test, ONE_TREE)
+    path = new_folder(spark, "importance-csv")
+    tables.write_importance_csv(model.feature_importance(fitted, ["x"], train), path)
+    return spark.read.schema("feature string, importance double").option("header", True).csv(path)
+
+
 # ---- filters and cleaning ---------------------------------------------------
 
 
@@ -773,7 +789,7 @@ def full_run(spark, d):
 PLAIN: list[Query] = [
     clean_event_name, clean_event_name_documents, clean_event_name_noise, clean_event_name_noise_documents,
     duration_groups, duration_seconds, duration_seconds_strict, distance_km, distance_km_legacy,
-    distance_corrections, null_tokens, typed_parse, malformed_cells, csv_round_trip, stage_round_trip,
+    distance_corrections, null_tokens, typed_parse, malformed_cells, csv_round_trip, stage_round_trip, predictions_csv_round_trip, importance_csv_round_trip,
     keep_distance_races, drop_named_events, missing_required, single_gender, single_valued_events,
     conflicting_entities_removed, missing_distance_events, names_with_digits, clean_races,
     clean_races_original, mean_pace_by_year, distinct_reduction, history_all, order_history,
