@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -30,26 +30,30 @@ def _literal(value: object, kind: str) -> Column:
 class Lookup:
     """A literal map of strings, cut into small maps by hash so that a look-up reads a few entries."""
 
-    def __init__(self, entries: dict[str, str]):
-        self.lists = max(1, len(entries) // 2)
-        parts: list[dict[str, str]] = [{} for _ in range(self.lists)]
-        for key, value in entries.items():
+    def __init__(self, entries: Iterable[tuple[str, str]], size: int):
+        self.lists = max(1, size // 2)
+        parts: list[list[str] | None] = [None] * self.lists
+        for key, value in entries:
             h = xxhash.xxh64_intdigest(key.encode(), 42)
-            parts[(h - 2**64 if h >= 2**63 else h) % self.lists][key] = value
-        self.table = _literal(parts, "array<map<string,string>>")
+            at = (h - 2**64 if h >= 2**63 else h) % self.lists
+            entry = f"{json.dumps(key)}:{json.dumps(value)}"
+            parts[at] = [entry] if parts[at] is None else parts[at] + [entry]
+        text = "[" + ",".join("{" + ",".join(p or ()) + "}" for p in parts) + "]"
+        self.table = F.from_json(F.lit(text), "array<map<string,string>>")
 
     def __call__(self, key: Column) -> Column:
         return F.try_element_at(F.get(self.table, F.pmod(F.xxhash64(key), F.lit(self.lists)).cast("int")), key)
 
 
-def sign(rank: int) -> str:
-    """The character that stands for a token id: ids and characters have one order."""
-    return chr(rank + 256 if rank + 256 < 0xD800 else rank + 256 + 0x800)
+#: Stands after each token character, so that two bytes for either make a 32-bit id.
+GAP = "\0"
 
 
-def _id(character: Column) -> Column:
-    code = F.ascii(character)
-    return code - F.when(code < 0xD800, 256).otherwise(256 + 0x800)
+def sign(rank: int) -> str:
+    """The character that stands for a token id: the one with this code."""
+    if rank >= 0xD800:
+        raise ValueError("ids from 55296 on have no character of two bytes")
+    return chr(rank)
 
 
 def _named(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -77,8 +81,9 @@ class Codec:
                 if left is not None and right is not None:
                     pairs[sign(left) + sign(right)] = sign(rank)
         #: What two tokens make together; tokens are characters, in the order of their ranks.
-        self.ranks = Lookup(pairs)
-        self.bytes = Lookup({f"{b:02X}": sign(ranks[bytes([b])]) for b in range(256) if bytes([b]) in ranks})
+        self.ranks = Lookup(pairs.items(), len(pairs))
+        single = [(f"{b:02X}", sign(ranks[bytes([b])])) for b in range(256) if bytes([b]) in ranks]
+        self.bytes = Lookup(single, len(single))
         self.pieces = _literal(pieces, "array<string>")
 
     def words(self, text: Column) -> Column:
@@ -86,7 +91,7 @@ class Codec:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
 
     def fold(self, word: Column) -> Column:
-        """Token characters of one word: from its bytes on, the pair with the lowest rank is merged, the left one first.
+        """Token characters of one word, a gap after each: from its bytes on, the pair with the lowest rank is merged, the left one first.
 
         The state has the tokens, what each makes with the next one, and the place of the
         pair to merge: 0 to look for it, -1 if there is none. Two steps make a merge, of
@@ -97,7 +102,8 @@ class Codec:
         nothing = F.lit(None).cast("array<string>")
         first = F.struct(tokens.alias("parts"), nothing.alias("makes"), F.lit(-2).alias("at"))
         steps = indices(F.lit(0), F.octet_length(word) * 2)
-        return F.array_join(F.aggregate(steps, first, lambda s, _: self._step(s, s["parts"], s["makes"], s["at"]))["parts"], "")
+        folded = F.aggregate(steps, first, lambda s, _: self._step(s, s["parts"], s["makes"], s["at"]))["parts"]
+        return F.concat(F.array_join(folded, GAP), F.lit(GAP))
 
     def _step(self, state: Column, parts: Column, makes: Column, at: Column) -> Column:
         whole, end = F.get(makes, at - 1), F.size(parts)
@@ -120,13 +126,16 @@ class Codec:
         return F.when(at == -1, state).when(at == 0, look).otherwise(_named(found, placed))
 
     def encode(self, words: Column, head: Lookup) -> Column:
-        """Ids of a list of words: looked up, or else folded."""
+        """Ids of a list of words, looked up or else folded, as little-endian unsigned 32-bit integers."""
         tokens = F.array_join(F.transform(words, lambda word: F.coalesce(head(word), self.fold(word))), "")
-        return F.transform(F.filter(F.split(tokens, ""), lambda c: c != ""), _id)
+        return F.encode(tokens, "UTF-16LE")
 
     def decode(self, ids: Column) -> Column:
-        """The bytes that ids stand for: their pieces in a row."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""))
+        """The bytes that such ids stand for: their pieces in a row."""
+        # With the mark of little-endian order before them, ids are characters of four bytes.
+        tokens = F.decode(F.concat(F.unhex(F.lit("FFFE0000")), ids), "UTF-32")
+        pieces = F.transform(F.split(tokens, ""), lambda c: F.get(self.pieces, F.ascii(c)))
+        return F.unhex(F.when(F.octet_length(ids) == 0, "").otherwise(F.array_join(pieces, "")))
 
 
 def head_words(docs: DataFrame, codec: Codec, text_col: str = "text", limit: int = HEAD_WORDS) -> dict[str, str]:
@@ -138,33 +147,31 @@ def head_words(docs: DataFrame, codec: Codec, text_col: str = "text", limit: int
     parts = docs.select(F.explode(F.split(F.col(text_col), " ")).alias("part")).groupBy("part").count()
     words = parts.select(F.explode(codec.words(F.concat(F.lit(" "), "part"))).alias("word"), "count")
     top = words.groupBy("word").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "word").limit(limit)
-    return dict(top.select("word", codec.fold(F.col("word")).alias("ids")).collect())
+    found = top.select("word", codec.fold(F.col("word")).alias("tokens")).toArrow()
+    return dict(zip(found["word"].to_pylist(), found["tokens"].to_pylist()))
 
 
 def encode(
-    docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids", head: int = HEAD_WORDS
+    docs: DataFrame, codec: Codec, text_col: str = "text", ids_col: str = "ids", head: int = HEAD_WORDS
 ) -> DataFrame:
-    """The rows with their ids; a null text is empty.
+    """The rows with their ids as a binary column (see ``Codec.encode``); a null text is empty.
 
     Frequent words are folded once and looked up; every other word is folded in its
     document. Which words are frequent changes the time only. No words are shuffled but the
     counts by word, combined before. Works on one row at a time.
     """
-    codec = Codec(ranks, pattern)
     known = head_words(docs, codec, text_col, head)
     words = codec.words(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.withColumn(ids_col, codec.encode(words, Lookup(known)))
+    return docs.withColumn(ids_col, codec.encode(words, Lookup(known.items(), len(known))))
 
 
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """The result of the query."""
-    ranks = read_ranks(path)
-    rows = encode(docs.select("doc_id", "text"), ranks, pattern).select("doc_id", "ids")
-    size = max(ranks.values(), default=0) + 1
-    little = _literal([i.to_bytes(4, "little").hex() for i in range(size)], "array<string>")
+    codec = Codec(read_ranks(path), pattern)
+    rows = encode(docs.select("doc_id", "text"), codec).select("doc_id", "ids")
     return rows.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.unhex(F.array_join(F.transform("ids", lambda i: F.get(little, i)), "")), 256).alias("ids_sha256"),
-        F.sha2(Codec(ranks, pattern).decode(F.col("ids")), 256).alias("decoded_sha256"),
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2(F.col("ids"), 256).alias("ids_sha256"),
+        F.sha2(codec.decode(F.col("ids")), 256).alias("decoded_sha256"),
     )
