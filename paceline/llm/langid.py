@@ -17,6 +17,9 @@ BUCKETS, ORDERS = 1 << 15, (1, 2, 3, 4)
 #: Rows the classifier is fitted on at most, of each language and in all. The rest of the
 #: labelled rows counts for the document frequencies only.
 ROWS_PER_LANGUAGE, ROWS = 500, 4000
+#: Languages that are learnt at most, the most frequent ones: the weights on the driver are
+#: one number for each of them and each bucket. Texts in others get one of these.
+LANGUAGES = 200
 EPOCHS = 3
 #: Characters of a text that are counted at once.
 PIECE = 1 << 18
@@ -157,24 +160,39 @@ def fit(
     return model
 
 
+def rows_each(sizes: list[int]) -> int:
+    """Rows for each language that has more, so that all languages have about ``ROWS`` at most.
+
+    What small languages leave goes to the others. A tenth stays free, as samples vary in size.
+    """
+    room, left = ROWS * 9 // 10, len(sizes)
+    for n in sorted(sizes):
+        if n * left > room:
+            break
+        room, left = room - n, left - 1
+    return max(1, min(ROWS_PER_LANGUAGE, room // left)) if left else ROWS_PER_LANGUAGE
+
+
 def train(
     docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> Model:
     """A model from the rows where ``learn`` holds and the language is known.
 
     Document frequencies are of all those rows. The classifier is fitted on a bounded sample
-    of them, chosen by a hash of the id so that every language has about
-    ``ROWS_PER_LANGUAGE``; of its rows only bucket counts reach the driver.
+    of them, chosen by a hash of the id so that every language has about ``rows_each`` of
+    its rows, or all if it has fewer; of these only bucket counts reach the driver. Of more
+    than ``LANGUAGES`` values of ``lang`` the less frequent ones are not learnt.
     """
     known = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     known = known.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(ROWS // 20).collect()
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    each = rows_each([n for _, n in sizes])
     frequency, rows = document_frequencies(known, "text")
     idf = np.log((1 + rows) / (1 + frequency)) + 0.2
     unit = (F.xxhash64(F.lit("sample"), "id") / F.lit(2.0**64)) + 0.5
     share = F.lit(0.0)
     for lang, n in sizes:
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, ROWS_PER_LANGUAGE / n))).otherwise(share)
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, each / n))).otherwise(share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,7 +209,7 @@ def train(
                     ["lang", "rank", "buckets", "counts"],
                 )
 
-    sample = known.where(unit < share).select("lang", unit.alias("rank"), "text")
+    sample = known.where(unit < share).select("lang", (unit / share).alias("rank"), "text")
     chosen = sample.mapInArrow(run, "lang string, rank double, buckets array<int>, counts array<int>")
     chosen = pin(chosen).orderBy("rank", "lang", F.xxhash64("buckets")).limit(ROWS)
     return fit([(r.lang, np.array(r.buckets, np.int32), np.array(r.counts, np.int32)) for r in chosen.toLocalIterator()], idf)

@@ -41,6 +41,25 @@ def test_only_the_text_decides_and_odd_rows(spark):
     assert all(by[i].lang_pred == "en" for i in range(60) if i != 5) and all(by[100 + i].lang_pred == "fr" for i in range(60))
 
 
+def test_a_rare_language_is_learnt_beside_many_frequent_ones(spark, monkeypatch):
+    monkeypatch.setattr(langid, "ROWS_PER_LANGUAGE", 50)
+    monkeypatch.setattr(langid, "ROWS", 400)
+    rng = random.Random(3)
+    text = lambda k: " ".join(chr(97 + 2 * k) + rng.choice("aeiou") + chr(98 + 2 * k) for _ in range(12))
+    rows = [(i, text(i % 10), f"l{i % 10}") for i in range(10_000)] + [(20_000 + i, text(11), "rare") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, ~langid.held_out())
+    assert model.languages == [f"l{k}" for k in range(10)] + ["rare"]
+    assert [model.predict(t)[0] for _, t, _ in rows[-40:]] == ["rare"] * 40
+
+
+def test_rows_each():
+    assert langid.rows_each([10**6] * 4) == 500 and langid.rows_each([]) == 500
+    for sizes in ([10**6] * 8 + [400], [10**5] * 12 + [300] * 3, [10**6] * 150 + [3] * 50):
+        each = langid.rows_each(sizes)
+        assert 0.85 * langid.ROWS < sum(min(n, each) for n in sizes) <= 0.9 * langid.ROWS and each >= 20
+
+
 @pytest.mark.parametrize("rows", [[], [(0, "abc def", "en")], [(0, None, None)]])
 def test_too_little_to_learn_from(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
