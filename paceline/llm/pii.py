@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm.words import words
 from paceline.sources.scratch import pin
 
 # The patterns of the contract. Runs are possessive and begin where a run begins (or the last
@@ -27,6 +26,29 @@ CONTEXT = 80
 #: entity's information content that the term must give away.
 SUPPORT, DISCLOSURE = 3, 0.9
 TERM = "term"
+#: Terms are words without the marks around them: letters and digits are what bounds a term.
+_INNER = r"\p{L}\p{M}\p{N}"
+_SPACE = r"\x20\x09-\x0D"
+#: What separates terms: a run of other characters with white space in it, or at an end of the
+#: text. A run is tried from its first character only.
+_BETWEEN = rf"(?<![^{_INNER}])(?:(?<=^)[^{_INNER}]++|(?=[^{_INNER}{_SPACE}]*+(?:[{_SPACE}]|\z))[^{_INNER}]++)"
+
+
+def terms_of(text: Column) -> Column:
+    """The terms of a text in lower case, in order; none for null."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _BETWEEN), lambda w: w != "")
+
+
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with a line end for each character of the spans, which may overlap."""
+
+    def add(state: Column, s: Column) -> Column:
+        lead = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
+        gone = F.repeat(F.lit("\n"), F.greatest(s["end"] - F.greatest(s["start"], state["at"]), F.lit(0)))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["text"], lead, gone).alias("text"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
+    return F.aggregate(F.array_sort(spans), start, add, lambda s: F.concat(s["text"], F.substring(text, s["at"] + 1, F.length(text))))
 
 
 def _digits(value: Column) -> Column:
@@ -74,19 +96,22 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumns({k: find(F.col("text"), p) for k, p in PATTERNS.items()})
     rows = rows.withColumns({k: F.filter(k, _checked(k)) for k in PATTERNS})
+    # No base span is part of a context, the others as little as the one it surrounds.
+    every = F.concat(*PATTERNS)
+    rows = rows.withColumn("around", F.when(F.size(every) > 0, _blanked(F.col("text"), every)))
 
     def near(kind: str) -> Column:
         def one(span: Column) -> Column:
             begin = F.greatest(span["start"] - CONTEXT, F.lit(0))
             sides = F.concat(
-                F.substring("text", begin + 1, span["start"] - begin), F.lit("\n"), F.substring("text", span["end"] + 1, F.lit(CONTEXT))
+                F.substring("around", begin + 1, span["start"] - begin), F.lit("\n"), F.substring("around", span["end"] + 1, F.lit(CONTEXT))
             )
-            terms = F.filter(words(F.lower(sides)), lambda w: (F.length(w) > 2) & ~w.rlike("[0-9@]"))
+            terms = F.filter(terms_of(sides), lambda w: F.length(w) > 2)
             return F.struct(F.concat(F.lit(f"{kind}:"), span["value"]).alias("entity"), F.array_distinct(terms).alias("terms"))
 
         return F.transform(kind, one)
 
-    return rows.withColumn("beside", F.concat(*[near(k) for k in PATTERNS])).drop("text")
+    return rows.withColumn("beside", F.concat(*[near(k) for k in PATTERNS])).drop("text", "around")
 
 
 def disclosing_terms(base: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -105,7 +130,7 @@ def disclosing_terms(base: DataFrame, docs: DataFrame, text_col: str = "text") -
     beside = contexts.select("entity", F.explode("terms").alias("term"), "rows")
     beside = beside.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("rows").alias("both"))
     beside = pin(beside.where(F.col("contexts") >= SUPPORT))
-    every = docs.select(F.explode(F.array_distinct(words(F.lower(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("all"))
+    every = docs.select(F.explode(F.array_distinct(terms_of(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("all"))
     known = beside.join(every, "term").join(held, "entity")
     information = -F.log2(F.col("rows") / F.lit(float(max(total, 1))))
     pmi = information + F.log2(F.least(F.col("both") / F.col("all"), F.lit(1.0)))
@@ -115,8 +140,8 @@ def disclosing_terms(base: DataFrame, docs: DataFrame, text_col: str = "text") -
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, key`` and the spans of each kind: the base kinds and ``term``.
 
-    Disclosing terms are marked in documents that hold the entity they disclose, as whole
-    words in any case, where they don't touch a base span. A null text is empty; null ids,
+    Disclosing terms are marked in documents that hold the entity they disclose, in any
+    case, between characters that are no letters and no digits, where they don't touch a base span. A null text is empty; null ids,
     repeated ids and rows are rows like any other (terms go by id and text); an empty table
     stays empty. Long runs of digits or letters take time in proportion.
     """
@@ -127,8 +152,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).distinct()
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["key"] == b["key"])
     texts = texts.join(holders, same(texts, holders)).select(texts["doc_id"], texts["key"], "text", "terms")
-    space = "[\\x20\\x09-\\x0D]"
-    whole = lambda t: F.concat(F.lit(f"(?iu)(?<=^|{space})\\Q"), F.replace(t, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(f"\\E(?=$|{space})"))
+    edge = lambda side: f"(?{side}[{_INNER}])"
+    whole = lambda t: F.concat(F.lit(f"(?iu){edge('<!')}\\Q"), F.replace(t, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(f"\\E{edge('!')}"))
     texts = texts.select("doc_id", "key", F.explode("terms").alias("t"), "text")
     texts = texts.select("doc_id", "key", F.inline(find(F.col("text"), whole(F.col("t")))))
     marked = texts.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("start", "end", "value"))).alias(TERM))

@@ -80,6 +80,27 @@ def test_terms_that_disclose(spark):
     assert all(clean[i] == t for i, t in rows if 10 <= i < 50) and clean[60] == rows[-1][1].replace("cy@mail.org", "<email>")
 
 
+def test_terms_of(spark):
+    text = "(Zorblax), 'a-b'  x ... É1!\nuser_77@ \t- end. "
+    frame = spark.createDataFrame([(text,), ("...",), ("",), (None,), ("a" + "." * 50_000 + "b",), ("(x",)], "t string")
+    got = [r[0] for r in frame.select(pii.terms_of(frame["t"])).collect()]
+    assert got == [["zorblax", "a-b", "x", "é1", "user_77", "end"], [], [], [], ["a" + "." * 50_000 + "b"], ["x"]]
+
+
+def test_terms_with_marks_and_digits(spark):
+    rng = random.Random(10)
+    fill = lambda n: " ".join("w" + "".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    shapes = ["(Zorblax)", "Zorblax,", "zorblax.", "Zorblax's", "ZORBLAX", '"zorblax"']
+    rows = [(i, f"{fill(4)} {x} case-4711b, di@mail.org and eve@mail.org. {fill(4)} ({x}) {fill(20)} xzorblaxx") for i, x in enumerate(shapes)]
+    docs = spark.createDataFrame(rows + [(10 + i, fill(30)) for i in range(30)], "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    for i, text in rows:
+        assert not re.search(r"(?i)\bzorblax\b", clean[i]) and "4711" not in clean[i] and "zorblaxx" in clean[i], clean[i]
+        assert clean[i].count("<email>") == 2
+    spans = [s for r in pii.digest(docs).collect() for s in r.spans.split(",") if s.startswith("term")]
+    assert len(spans) > 12
+
+
 def test_sanitised_text(spark):
     docs = spark.createDataFrame([(1, "é a@b.c, 1.2.3.4 +12345678, 4111111111111111.", 1), (2, None, 1), (None, "x@y.z", 1), (4, "+4111111111111111 a", 1)], "doc_id long, text string, key int")
     got = {r.doc_id: (r.text, r.key) for r in pii.sanitise(docs).collect()}
