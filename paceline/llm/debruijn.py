@@ -1,6 +1,7 @@
-"""Substring dedup on a sparse De Bruijn graph of word k-mers.
+"""Substring dedup by winnowing of word k-mers.
 
-An edge is a k-mer of words. Of each window of ``window`` words the k-mer with the smallest
+This stands in for the compaction of a De Bruijn graph: there are no edge table, degrees or
+joins along paths, and anchors take the place of nodes. Of each window of ``window`` words the k-mer with the smallest
 hash is its anchor, so equal windows have the same anchor at the same place. The windows of
 one anchor that follow each other in a document are a *path*; its text reaches from its
 first window to its last. Where an anchor has the same path everywhere, the path does not
