@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paceline.llm import bytebpe, debruijn, langid, linechunks, multiindex, packing, pii, quality, simhash, tokenfile
+from paceline.llm import bytebpe, debruijn, digestindex, langid, linechunks, multiindex, packing, pii, quality, simhash, tokenfile
 from paceline.sources.scratch import new_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -64,6 +64,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(_read(spark, sf_dir, "documents"))
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digestindex.digest(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1,
     "op2_pii": op2,
@@ -75,6 +79,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8,
     "op9_line_dedup": op9,
     "op10_simhash_near_dedup": op10,
+    "op12_exact_dedup": op12,
 }
 
-ORACLES: dict[str, str] = {"op1_embedding_near_dedup": multiindex.ORACLE, "op3_substring_dedup": debruijn.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_embedding_near_dedup": multiindex.ORACLE,
+    "op3_substring_dedup": debruijn.ORACLE,
+    "op12_exact_dedup": digestindex.ORACLE,
+}
