@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paceline.llm import bytebpe, debruijn, digestindex, langid, linechunks, multiindex, packing, pii, quality, simhash, tokenfile
+from paceline.llm import bytebpe, debruijn, digestindex, langid, linechunks, merkle, multiindex, packing, pii, quality, simhash, tokenfile
 from paceline.sources.scratch import new_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -68,6 +68,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digestindex.digest(_read(spark, sf_dir, "documents"))
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1,
     "op2_pii": op2,
@@ -80,10 +84,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9,
     "op10_simhash_near_dedup": op10,
     "op12_exact_dedup": op12,
+    "op13_merkle_manifest": op13,
 }
 
 ORACLES: dict[str, str] = {
     "op1_embedding_near_dedup": multiindex.ORACLE,
     "op3_substring_dedup": debruijn.ORACLE,
     "op12_exact_dedup": digestindex.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
 }
