@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paceline.llm import bytebpe, debruijn, digestindex, langid, linechunks, merkle, multiindex, packing, pii, quality, simhash, tokenfile
+from paceline.llm import bytebpe, debruijn, digestindex, langid, linechunks, merkle, multiindex, packing, pii, quality, simhash, tokenfile, zonemaps
 from paceline.sources.scratch import new_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -64,6 +64,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(_read(spark, sf_dir, "documents"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zonemaps.digest(_read(spark, sf_dir, "embeddings"))
+
+
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digestindex.digest(_read(spark, sf_dir, "documents"))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8,
     "op9_line_dedup": op9,
     "op10_simhash_near_dedup": op10,
+    "op11_centroid_clustering": op11,
     "op12_exact_dedup": op12,
     "op13_merkle_manifest": op13,
 }
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_embedding_near_dedup": multiindex.ORACLE,
     "op3_substring_dedup": debruijn.ORACLE,
+    "op11_centroid_clustering": zonemaps.ORACLE,
     "op12_exact_dedup": digestindex.ORACLE,
     "op13_merkle_manifest": merkle.ORACLE,
 }
