@@ -193,6 +193,28 @@ TREE_FOLDS = [
 ]
 
 
+# A leaf alone predicts the mean label of what it has seen: here of all earlier folds.
+LEAF_FOLDS = [
+    *TO_SPLIT,
+    "i AS (SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS k, count(*) OVER () AS n FROM train)",
+    """f AS (SELECT *, CAST(CASE WHEN k < n - 5 * (n // 6) THEN -1 ELSE (k - (n - 5 * (n // 6))) // (n // 6) END AS INTEGER)
+  AS fold FROM i)""",
+    "fit AS (SELECT o.fold, count(*) AS n_train, avg(pace) AS mean FROM range(5) o(fold), f WHERE f.fold < o.fold GROUP BY o.fold)",
+]
+LEAF_SCORES = """SELECT f.fold, any_value(n_train) AS n_train, count(*) AS n_validation,
+  round(avg(abs(pace - mean)), 6) AS mae, round(sqrt(avg((pace - mean) * (pace - mean))), 6) AS rmse
+FROM f JOIN fit ON f.fold = fit.fold GROUP BY f.fold"""
+LEAF_TEST = [
+    *TO_SPLIT,
+    "leaf AS (SELECT avg(pace) AS prediction FROM train)",
+    "predicted AS (SELECT row_id, pace AS label, prediction FROM test, leaf)",
+]
+
+
+def _in_order(parts: list[str], order: str) -> list[str]:
+    return [p.replace("{order}", order) for p in parts]
+
+
 def _r(*columns: str) -> str:
     return ", ".join(f"round({c}, 6) AS {c}" for c in columns)
 
@@ -708,6 +730,50 @@ UNION ALL SELECT 'split', count(*) = 0, count(*) FROM split_issues""",
         "SELECT event_name, count(*) AS rows FROM raw GROUP BY event_name ORDER BY rows DESC, event_name LIMIT 10",
     ),
     "rows_over_time": "SELECT CAST(ts AS DATE) AS day, count(*) AS rows FROM events GROUP BY day",
+    "metrics_by_segment": _sql(
+        [
+            *TO_PREDICTIONS,
+            f"""labelled AS (SELECT *,
+  {_case('distance', [0, 50, 100, 160, 200], ['< 50km', '50-99km', '100-159km', '160-199km', '≥ 200km'])} AS d,
+  {_case('num_races', [0, 5, 20, 50, 100], ['0-4 races', '5-19 races', '20-49 races', '50-99 races', '100+ races'])} AS e
+  FROM predictions)""",
+        ],
+        _union(
+            [
+                f"SELECT '{name}' AS segment, CAST({c} AS VARCHAR) AS \"value\", {_metrics()} FROM labelled {rest}"
+                for name, c, rest in (
+                    ("distance_range", "d", "WHERE d IS NOT NULL GROUP BY d"),
+                    ("experience_range", "e", "WHERE e IS NOT NULL GROUP BY e"),
+                    ("gender", "gender", "GROUP BY gender"),
+                    ("all", "NULL", ""),
+                )
+            ]
+        ),
+    ),
+    "density_by_category": """WITH v AS (SELECT event_type, CAST(value AS DOUBLE) AS v FROM events WHERE value IS NOT NULL),
+facts AS (SELECT event_type, count(*) AS n, min(v) AS lo, max(v) AS hi, stddev_samp(v) * pow(count(*), -0.2) AS h
+  FROM v GROUP BY event_type),
+grid AS (SELECT *, CAST(range AS INTEGER) AS point, lo - 2 * h + range * (hi - lo + 4 * h) / 49.0 AS x FROM range(50), facts)
+SELECT g.event_type, point, round(any_value(x), 6) AS x,
+  round(sum(exp(-0.5 * ((x - v) / h) * ((x - v) / h))) / (any_value(n) * any_value(h) * sqrt(2 * pi())) * 1000, 6) AS density
+FROM grid g JOIN v ON g.event_type IS NOT DISTINCT FROM v.event_type GROUP BY g.event_type, point""",
+    "one_hot_sparse": """WITH l AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM
+  (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS v FROM orders WHERE o_orderdate < '2000-01-01'))
+SELECT o_orderkey, CAST((SELECT count(*) - 1 FROM l) AS INTEGER) AS places,
+  CAST(CASE WHEN i > 0 THEN i - 1 END AS INTEGER) AS place, CAST(coalesce(i > 0, false) AS INTEGER) AS ones
+FROM orders LEFT JOIN l ON v = CAST(o_custkey AS VARCHAR)""",
+    "lookup_hot_keys": """SELECT l_orderkey, l_linenumber, part, round(p_retailprice, 6) AS p_retailprice FROM
+  (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 2 = 0 THEN 7 WHEN l_orderkey % 9 <> 0 THEN l_partkey END AS part FROM lineitem)
+  LEFT JOIN part ON part = p_partkey AND p_partkey % 3 <> 0""",
+    "drop_listed_names": """SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey
+WHERE lower(c_name) NOT IN (SELECT lower(c_name) FROM customer WHERE c_custkey % 3 > 0)""",
+    "bad_rows": """WITH o AS (SELECT o_orderkey % 10 AS kind, CAST(o_orderkey AS VARCHAR) AS k, o_orderstatus AS s,
+  CAST(o_custkey AS VARCHAR) AS c, CAST(o_orderkey % 89 AS VARCHAR) AS a FROM orders)
+SELECT 'unclosed_quote' AS problem, CAST(4 AS INTEGER) AS cells, CAST(NULL AS VARCHAR) AS columns, k || ',"' || s || ',' || c || ',' || a AS record
+FROM o WHERE kind = 0
+UNION ALL SELECT 'too_few', 3, NULL, k || ',' || s || ',' || c FROM o WHERE kind = 1
+UNION ALL SELECT 'too_many', 5, NULL, k || ',' || s || ',' || c || ',' || a || ',more' FROM o WHERE kind = 2
+UNION ALL SELECT 'malformed', 4, 'customer amount', k || ',' || s || ',n/k,' || a || 'x' FROM o WHERE kind = 4""",
     "stage_counts": _sql(
         TO_FEATURES,
         """SELECT 'raw' AS stage, count(*) AS rows, CAST(14 AS BIGINT) AS columns FROM raw
@@ -763,6 +829,25 @@ FROM points""",
     ),
     "tree_metrics": _sql(TREE_TEST, f"SELECT {_metrics('label', 'prediction')} FROM predicted"),
     "tree_importance": "SELECT 'x' AS feature, 1.0::DOUBLE AS importance",
+    "tree_split_counts": _sql(TREE_ROWS, "SELECT 'x' AS feature, CAST(count(DISTINCT x) - 1 AS DOUBLE) AS importance FROM train"),
+    "tree_leaves": _sql(TREE_ROWS, "SELECT count(*) AS rows, round(avg(label), 6) AS prediction FROM train GROUP BY x"),
+    "tree_residuals": _sql(
+        [*TREE_ROWS, "fit AS (SELECT x, avg(label) AS prediction FROM train GROUP BY x)"],
+        "SELECT row_id, CAST(x AS DOUBLE) AS top_feature, round(label - prediction, 6) AS residual FROM test JOIN fit USING (x)",
+    ),
+    "tree_temporal_cv": _sql(_in_order(LEAF_FOLDS, "event_year, row_id"), LEAF_SCORES),
+    "tree_saved_model": _sql(LEAF_TEST, "SELECT row_id, round(prediction, 6) AS prediction FROM predicted"),
+    "run_ml_metrics": _sql(LEAF_TEST, f"SELECT {_metrics('label', 'prediction')} FROM predicted"),
+    "run_cv_scores": _sql(_in_order(LEAF_FOLDS, ORDER), LEAF_SCORES),
+    "run_final_predictions": _sql(LEAF_TEST, "SELECT round(label, 6) AS label, round(prediction, 6) AS prediction FROM predicted"),
+    "run_data_features": _sql(
+        TO_FEATURES, f"SELECT athlete_id, event_year, event_name_clean, {', '.join(map(_shown, HISTORY_COLS))} FROM features"
+    ),
+    "sorted_stage": _sql(
+        [RAW],
+        f"""SELECT athlete_id, event_year, event_name, performance AS "Athlete performance",
+  row_number() OVER (ORDER BY athlete_id, {ORDER}) - 1 AS place FROM raw""",
+    ),
     "tree_kfold": _sql(
         TREE_FOLDS,
         """SELECT round(avg(-mae), 6) AS mean, round(stddev_pop(-mae), 6) AS std, round(min(-mae), 6) AS min,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paceline.functions import text
-from paceline.operators import clean, encode, folds, history, metrics, model, profile, split, validate
+from paceline.operators import clean, encode, folds, history, joins, metrics, model, profile, split, validate
 from paceline.operators.ordered import Prior, global_index, prior_aggregates
 from paceline.plans import flows
 from paceline.plans.race_view import TEST_YEAR, race_entities, race_raw, table
@@ -36,6 +37,7 @@ SHORT = {
 FOLD_ORDER = [RACE.year, ROW_ID]
 ONE_TREE = {"n_estimators": 1, "num_leaves": 64, "subsample": 1.0, "colsample_bytree": 1.0}
 EVENT_BLOCK_ROWS = 2000
+ONE_LEAF = {**ONE_TREE, "num_leaves": 1}
 SMALL_TREES = {"n_estimators": 5, "num_leaves": 8, "learning_rate": 0.3}
 
 
@@ -198,6 +200,37 @@ def malformed_cells(spark, d):
     return tables.malformed_cells(cells, CELL_SCHEMA)
 
 
+BAD_SCHEMA = T.StructType(
+    [
+        T.StructField("k", T.LongType()),
+        T.StructField("status", T.StringType()),
+        T.StructField("customer", T.LongType()),
+        T.StructField("amount", T.DoubleType()),
+    ]
+)
+
+
+def bad_rows(spark, d):
+    """Orders as CSV lines, some with an open quote, too few or too many cells, or a wrong type."""
+    k, kind = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 10
+    status, customer = F.col("o_orderstatus"), F.col("o_custkey").cast("string")
+    amount = (F.col("o_orderkey") % 89).cast("string")
+    plain = F.concat_ws(",", k, status, customer, amount)
+    line = (
+        F.when(kind == 0, F.concat_ws(",", k, F.concat(F.lit('"'), status), customer, amount))
+        .when(kind == 1, F.concat_ws(",", k, status, customer))
+        .when(kind == 2, F.concat_ws(",", plain, F.lit("more")))
+        .when(kind == 3, F.concat_ws(",", k, F.concat(F.lit('"'), status, F.lit(', ""x"""')), customer, amount))
+        .when(kind == 4, F.concat_ws(",", k, status, F.lit("n/k"), F.concat(amount, F.lit("x"))))
+        .when(kind == 5, F.concat_ws(",", k, F.lit(""), F.lit("NULL"), amount))
+        .otherwise(plain)
+    )
+    path = new_folder(spark, "bad-csv")
+    table(spark, d, "orders").select(line).write.text(path)
+    found = tables.bad_rows(spark, path, BAD_SCHEMA, header=False)
+    return found.select("problem", "cells", F.array_join("columns", " ").alias("columns"), "record")
+
+
 def csv_round_trip(spark, d):
     """Race rows written as CSV and read with the declared schema."""
     path = new_folder(spark, "races-csv")
@@ -249,6 +282,23 @@ def drop_named_events(spark, d):
     return show(clean.drop_named_events(race_raw(spark, d), RACE.event), ROW_ID, RACE.event)
 
 
+def drop_listed_names(spark, d):
+    """Orders without those of the listed customers: two thirds of all names, written another way."""
+    customer = table(spark, d, "customer")
+    orders = table(spark, d, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    listed = customer.where(F.col("c_custkey") % 3 > 0).select(F.concat(F.lit("  "), F.upper("c_name")).alias("listed"))
+    return clean.drop_listed_events(orders, "c_name", listed, "listed").select("o_orderkey", "c_name")
+
+
+def lookup_hot_keys(spark, d):
+    """Prices of parts for order lines, half of which name one part and a ninth none: hot keys joined apart."""
+    part = F.when(F.col("l_orderkey") % 2 == 0, 7).when(F.col("l_orderkey") % 9 != 0, F.col("l_partkey"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", part.cast("bigint").alias("part"))
+    prices = pin(table(spark, d, "part").where(F.col("p_partkey") % 3 != 0).select("p_partkey", "p_retailprice"))
+    # Low bounds, so that the cut-up form runs at any size; they change no result.
+    return show(joins.join_lookup(lines, prices, {"part": "p_partkey"}, broadcast_rows=0, hot_rows=1000))
+
+
 def missing_required(spark, d):
     return clean.require(race_raw(spark, d), [RACE.birth_year, RACE.distance_text]).select(ROW_ID)
 
@@ -456,6 +506,18 @@ def one_hot(spark, d):
     return train.unionByName(test).withColumnsRenamed(plain).drop("o_orderdate")
 
 
+def one_hot_sparse(spark, d):
+    """A sparse vector over all customers with an order before 2000: its length and the place of the one."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate", F.col("o_custkey").cast("string").alias("customer"))
+    late = F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp_ntz")
+    train, test, _ = encode.sparse_one_hot(orders.filter(~late), orders.filter(late), "customer", "vector")
+    stored = F.unwrap_udt("vector")
+    return train.unionByName(test).select(
+        "o_orderkey", stored["size"].alias("places"), F.get(stored["indices"], F.lit(0)).alias("place"),
+        F.size(stored["values"]).alias("ones"),
+    )
+
+
 def model_matrix_clean(spark, d):
     """Numeric model inputs with categories coded and gaps filled."""
     train, test, cols = _stored_split(spark, d)
@@ -493,6 +555,15 @@ def metrics_by_custom_bins(spark, d):
     return show(metrics.metrics_by_distance(baseline_predictions(spark, d), bins=[0, 42, 80, 120]))
 
 
+def metrics_by_segment(spark, d):
+    """All segment reports in one pass."""
+    bins = {
+        "distance_range": ("distance", metrics.DISTANCE_BINS, metrics.DISTANCE_LABELS),
+        "experience_range": ("num_races", metrics.EXPERIENCE_BINS, metrics.EXPERIENCE_LABELS),
+    }
+    return show(metrics.segment_report(baseline_predictions(spark, d), bins, ["gender"]))
+
+
 def compare_models(spark, d):
     both = {"past mean": "y_pred", "past best": "y_best"}
     return show(metrics.compare_models(baseline_predictions(spark, d), "y_true", both))
@@ -587,8 +658,12 @@ def rows_over_time(spark, d):
 
 
 def stage_counts(spark, d):
-    raw = race_raw(spark, d)
-    return profile.stage_counts({"raw": raw, "cleaned": cleaned(spark, d), "features": features(spark, d)})
+    """Rows and columns of the stages, noted while each is written from the one before."""
+    writer, folder = profile.StageWriter(spark), new_folder(spark, "stages")
+    raw = writer.write("raw", race_raw(spark, d), f"{folder}/raw")
+    races = writer.write("cleaned", clean.clean_races(raw), f"{folder}/cleaned")
+    writer.write("features", history.history_features(races), f"{folder}/features")
+    return writer.counts()
 
 
 def histogram(spark, d):
@@ -608,6 +683,11 @@ def category_distribution(spark, d):
     return show(profile.category_distribution(table(spark, d, "events"), "event_type", "value"))
 
 
+def density_by_category(spark, d):
+    out = profile.density_by_category(table(spark, d, "events"), "event_type", "value", 50)
+    return show(out.withColumn("density", F.col("density") * 1000))
+
+
 def quantiles_by_flag(spark, d):
     tenths = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
     return show(profile.exact_quantiles(table(spark, d, "lineitem"), "l_quantity", tenths, ["l_returnflag"]))
@@ -697,6 +777,44 @@ def tree_importance(spark, d):
     return show(model.feature_importance(model.train_and_predict(train, test, ONE_TREE)[0], ["x"], train))
 
 
+def tree_split_counts(spark, d):
+    """A tree that tells six values apart splits five times."""
+    train, test = _one_tree_split(spark, d)
+    return show(model.feature_importance(model.train_and_predict(train, test, ONE_TREE)[0], ["x"], train, "split"))
+
+
+def tree_leaves(spark, d):
+    """The leaves of the tree: training rows and prediction of each."""
+    train, test = _one_tree_split(spark, d)
+    nodes = model.tree_nodes(model.train_and_predict(train, test, ONE_TREE)[0])
+    return show(nodes.where("feature is null"), "rows", "prediction")
+
+
+def tree_residuals(spark, d):
+    """Residuals against the most important input of the tree."""
+    train, test = _one_tree_split(spark, d)
+    fitted, predicted = model.train_and_predict(train, test, ONE_TREE)
+    best = model.feature_importance(fitted, ["x"], train, "split").first()["feature"]
+    known = metrics.with_error(predicted, "label", "prediction", "residual")
+    return show(known.select(ROW_ID, vector_to_array("features")[["x"].index(best)].alias("top_feature"), "residual"))
+
+
+def tree_temporal_cv(spark, d):
+    """Fold sizes and scores of a tree of one leaf, which predicts the mean of the earlier folds."""
+    train, _, cols = _stored_split(spark, d)
+    return show(model.temporal_cv(train, cols, 5, ONE_LEAF, order=FOLD_ORDER))
+
+
+def tree_saved_model(spark, d):
+    """A tree of one leaf and its preparation tables, stored and loaded again for new rows."""
+    train, test, cols = _stored_split(spark, d)
+    matrix = encode.ModelMatrix.fit(train, cols, also=[test])
+    fitted = model.make_regressor(ONE_LEAF).fit(matrix.transform(train))
+    path = new_folder(spark, "model")
+    model.save_model(fitted, matrix, path)
+    return show(model.score_rows(test, path, [ROW_ID]))
+
+
 def tree_kfold(spark, d):
     train, _ = _one_tree_split(spark, d)
     return show(model.kfold_evaluation(train, [ROW_ID], 5, ONE_TREE)[1])
@@ -775,6 +893,52 @@ def run_log(spark, d):
     return show(runlog.run_history(spark, folder).drop("ts"))
 
 
+def _raw_csv(spark, d, folder: str) -> str:
+    race_raw(spark, d).drop(ROW_ID).write.option("header", True).csv(f"{folder}/raw")
+    return f"{folder}/raw"
+
+
+def _tree_settings(folder: str, folds: int = 5) -> flows.RunSettings:
+    return flows.RunSettings(output_dir=folder, run_id="check", test_year=TEST_YEAR, cv_folds=folds, params=ONE_LEAF)
+
+
+def sorted_stage(spark, d):
+    """The first stage of a run as it lies in its files: each row with its place in the global order."""
+    folder = new_folder(spark, "sorted")
+    raw = tables.read_races_csv(spark, _raw_csv(spark, d, folder), row_id=True)
+    stage = tables.write_stage(history.sort_for_sink(raw).withColumn("file_order", F.monotonically_increasing_id()), f"{folder}/sorted")
+    return show(global_index(stage, ["file_order"], "place"), RACE.entity, RACE.year, RACE.event, RACE.performance, "place")
+
+
+def run_data_features(spark, d):
+    """The feature table of a run that starts from CSV."""
+    folder = new_folder(spark, "run")
+    found = flows.run(spark, "data", _tree_settings(folder), csv_path=_raw_csv(spark, d, folder))
+    return show(found, RACE.entity, RACE.year, RACE.event_clean, *HISTORY_COLS)
+
+
+def run_ml_metrics(spark, d):
+    """A whole run from CSV with a tree of one leaf: the test metrics."""
+    folder = new_folder(spark, "run")
+    result = flows.run(spark, "ml", _tree_settings(folder, 2), csv_path=_raw_csv(spark, d, folder))
+    return show(result.metrics)
+
+
+def run_cv_scores(spark, d):
+    """Cross-validation alone, from a stored feature table."""
+    folder = new_folder(spark, "run")
+    features(spark, d).write.parquet(f"{folder}/stored")
+    return show(flows.run(spark, "cv", _tree_settings(folder), features_path=f"{folder}/stored").cv_scores)
+
+
+def run_final_predictions(spark, d):
+    """Final training alone, with one-hot categories: actual and predicted of the test rows."""
+    folder = new_folder(spark, "run")
+    settings = replace(_tree_settings(folder), encoding="one_hot")
+    result = flows.run(spark, "final", settings, features=stored_features(spark, d))
+    return show(result.predictions, "label", "prediction")
+
+
 def full_run(spark, d):
     """CSV to stages, features, split, cross-validation, final model and its metrics."""
     folder = new_folder(spark, "run")
@@ -804,7 +968,9 @@ PLAIN: list[Query] = [
     category_distribution, quantiles_by_flag, scatter_sample, binned_pairs, correlations,
     top_correlations, residual_histogram, qq_points, qq_fit, kde_curve, tree_predict, tree_metrics, tree_importance, tree_kfold, tree_grid, gbt_predict, gbt_metrics,
     feature_importance, residual_by_top_feature, temporal_cv, kfold_eval, grid_search,
-    score_saved_model, run_log, full_run,
+    score_saved_model, run_log, full_run, bad_rows, drop_listed_names, lookup_hot_keys, one_hot_sparse,
+    metrics_by_segment, density_by_category, tree_split_counts, tree_leaves, tree_residuals, tree_temporal_cv,
+    tree_saved_model, sorted_stage, run_data_features, run_ml_metrics, run_cv_scores, run_final_predictions,
 ]
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in PLAIN}

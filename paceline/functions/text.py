@@ -31,8 +31,8 @@ STRICT_HMS = r"^\d{1,2}:\d{2}:\d{2}$"
 STRICT_DHMS = r"^\d+d \d{2}:\d{2}:\d{2}$"
 NUMBER = r"(\d+(\.\d+)?)"
 PERFORMANCE_SUFFIX = r" h| km"
-TIME_BASED = r"[hd]|min"
-STAGE_BASED = r"[/:x]"
+TIME_BASED = r"h|hr|hour|hours|d|day|days|min"
+STAGE_BASED = r"/|:|x"
 KM_PER_MILE = 1.60934
 
 

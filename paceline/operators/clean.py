@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.functions import numeric, text
-from paceline.operators.ordered import MAX_GROUP_ROWS, group_sizes
+from paceline.operators.joins import free_names
+from paceline.operators.ordered import MAX_GROUP_ROWS, broadcast_if, group_sizes
 from paceline.schema import RACE, RaceColumns, history_order
+from paceline.sources.scratch import pin
 
 # Events that are no races (matched anywhere in the name, in any case).
 EVENTS_TO_REMOVE = ["Stockholm Fotrally (SWE)", "Maratonmarschen Stockholm (SWE)"]
@@ -35,6 +37,23 @@ def drop_named_events(df: DataFrame, column: str, names: list[str] | None = None
     return df.filter(~F.col(column).rlike(pattern))
 
 
+def drop_listed_events(df: DataFrame, column: str, listed: DataFrame, name: str) -> DataFrame:
+    """Drop rows whose event name is on a list, whatever its length; rows without a name go too.
+
+    Names are the same if they are equal without case and without white space around or
+    repeated inside.  A list counted to be short is broadcast, a longer one shuffled; either
+    way each name is hashed once, where a pattern would be tried name by name.
+    """
+
+    def key(c: str) -> Column:
+        return F.lower(F.trim(F.regexp_replace(F.col(f"`{c}`"), r"\s+", " ")))
+
+    (wanted,) = free_names(df.columns, ["_listed"])
+    names = pin(listed.select(key(name).alias(wanted)).where(F.col(wanted).isNotNull()).distinct())
+    names = broadcast_if(names, names.count())
+    return df.where(F.col(f"`{column}`").isNotNull()).join(names, key(column) == F.col(wanted), "left_anti")
+
+
 def require(df: DataFrame, columns: list[str]) -> DataFrame:
     """Drop rows with a null in any of ``columns`` (NaN stays)."""
     return df.filter(reduce(Column.__and__, [F.col(c).isNotNull() for c in columns]))

@@ -5,14 +5,18 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.feature import VectorAssembler, VectorSizeHint
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from paceline.functions.numeric import finite_or
 from paceline.operators.folds import FOLD
+from paceline.operators.joins import free_names, join_lookup
 from paceline.operators.ordered import global_index
 from paceline.schema import CATEGORICAL_COLS, ENCODED_COL, RACE
+from paceline.sources.scratch import pin
 
 SMOOTHING = 10
 LABEL = "label"
@@ -23,8 +27,9 @@ LOCAL_LABELS = 10_000
 class TargetEncoder:
     """Smoothed mean of the target per category, learnt from one table.
 
-    ``weights`` is a small-or-large DataFrame (one row per category); ``default`` is the
-    overall mean as a scalar subquery.  Both stay lazy, nothing passes the driver.
+    ``weights`` (one row per category) and ``default`` (the overall mean, one row) are written
+    once when they are learnt, from one scan of the table; every later use reads them.
+    Nothing passes the driver.
     """
 
     def __init__(self, weights: DataFrame, default: DataFrame, column: str):
@@ -38,25 +43,30 @@ class TargetEncoder:
         target: str = RACE.pace,
         m: float = SMOOTHING,
     ) -> TargetEncoder:
-        default = train.agg(F.avg(target).alias("_mean"))
-        stats = (
-            train.filter(F.col(column).isNotNull())
-            .groupBy(column)
-            .agg(F.count(target).alias("_n"), F.sum(target).alias("_sum"))
-        )
+        stats = train.groupBy(F.col(column).alias("_category")).agg(*_target_sums(target))
+        return cls.from_sums(pin(stats), column, m)
+
+    @classmethod
+    def from_sums(cls, stats: DataFrame, column: str, m: float = SMOOTHING) -> TargetEncoder:
+        """From ``_category, _n, _sum`` of every category, null included: a written table."""
+        default = pin(stats.agg(F.try_divide(F.sum("_sum"), F.sum("_n")).alias("_mean")))
         # Sum and mean * count are the same; a category without targets gets the mean.
         weight = (F.coalesce("_sum", F.lit(0.0)) + m * default.scalar()) / (F.col("_n") + m)
-        return cls(stats.select(F.col(column).alias("_category"), weight.alias("_weight")), default, column)
+        known = stats.filter(F.col("_category").isNotNull())
+        return cls(pin(known.select("_category", weight.alias("_weight"))), default, column)
 
     def transform(self, df: DataFrame, output: str = ENCODED_COL) -> DataFrame:
         """Left join on the category; unseen and null categories get the overall mean.
 
-        The join strategy and the splitting of hot categories are left to adaptive
-        execution, since the number of categories is not known.
+        Few categories (they are counted) are broadcast; with more, hot ones are joined apart.
         """
-        joined = df.join(self.weights, df[self.column] == self.weights["_category"], "left")
+        joined = join_lookup(df, self.weights, {self.column: "_category"})
         encoded = F.coalesce(F.col("_weight"), self.default.scalar())
-        return joined.withColumn(output, encoded).drop("_category", "_weight")
+        return joined.withColumn(output, encoded).drop("_weight")
+
+
+def _target_sums(target: str) -> list[Column]:
+    return [F.count(target).alias("_n"), F.sum(F.col(target).cast("double")).alias("_sum")]
 
 
 def target_encode(
@@ -119,19 +129,30 @@ def label_dictionary(df: DataFrame, column: str, local_labels: int = LOCAL_LABEL
     range-partitioned global index.
     """
     labels = df.select(F.col(column).alias("_label")).filter(F.col("_label").isNotNull()).distinct()
+    return _numbered(pin(labels), local_labels)
+
+
+def _numbered(labels: DataFrame, local_labels: int = LOCAL_LABELS) -> tuple[DataFrame, bool]:
+    """A written table of different labels with their codes, written too; and whether they are few."""
     few = labels.limit(local_labels + 1).count() <= local_labels
     if few:
         place = F.row_number().over(Window.orderBy("_label")) - 1
-        return labels.withColumn("_code", place.cast("bigint")), True
-    return global_index(labels, ["_label"], "_code"), False
+        return pin(labels.withColumn("_code", place.cast("bigint"))), True
+    return pin(global_index(labels, ["_label"], "_code")), False
 
 
 def apply_codes(df: DataFrame, column: str, output: str, codes: DataFrame, few: bool) -> DataFrame:
-    """Codes of a fitted dictionary; null and unknown labels become -1."""
-    table = F.broadcast(codes) if few else codes
-    joined = df.join(table, df[column] == F.col("_label"), "left")
-    value = F.coalesce(F.col("_code"), F.lit(-1)).cast("int")
-    return joined.withColumn(output, value).drop("_label", "_code")
+    """Codes of a fitted dictionary; null and unknown labels become -1.
+
+    A dictionary of few labels is broadcast; with more, hot labels are joined apart.
+    """
+    (code,) = free_names(df.columns, ["_code"])
+    codes = codes.withColumnRenamed("_code", code)
+    if few:
+        joined = df.join(F.broadcast(codes), df[column] == F.col("_label"), "left").drop("_label")
+    else:
+        joined = join_lookup(df, codes, {column: "_label"})
+    return joined.withColumn(output, F.coalesce(F.col(code), F.lit(-1)).cast("int")).drop(code)
 
 
 def category_codes(
@@ -179,6 +200,41 @@ def one_hot(
     return apply_one_hot(train, column, levels), apply_one_hot(test, column, levels), names
 
 
+def sparse_levels(train: DataFrame, column: str, local_labels: int = LOCAL_LABELS) -> tuple[DataFrame, bool, int]:
+    """The dictionary of a column's training levels, whether they are few, and the places of its vector.
+
+    The first level has no place, so there is one less than there are levels.  Any number of
+    levels will do: they stay in a table and never reach the driver.
+    """
+    codes, few = label_dictionary(train, column, local_labels)
+    return codes, few, max(codes.count() - 1, 0)
+
+
+def apply_sparse(df: DataFrame, column: str, output: str, codes: DataFrame, few: bool, places: int) -> DataFrame:
+    """Add (or replace by) a sparse one-hot vector: a one at the level's place, other values get zeros.
+
+    The vector is parsed from its stored form, type 0 with size, indices and values, so it
+    is made inside the engine and takes the same room whatever its length.
+    """
+    (code,) = free_names(df.columns, ["_place"])
+    coded = apply_codes(df, column, code, codes, few)
+    held = F.col(code) >= 1
+    at = F.when(held, F.concat(F.lit("["), (F.col(code) - 1).cast("string"), F.lit("]"))).otherwise("[]")
+    one = F.when(held, "[1.0]").otherwise("[]")
+    stored = F.concat(F.lit(f'{{"v":{{"type":0,"size":{places},"indices":'), at, F.lit(',"values":'), one, F.lit("}}"))
+    vector = F.from_json(stored, StructType([StructField("v", VectorUDT())])).getField("v")
+    return coded.withColumn(output, vector).drop(code)
+
+
+def sparse_one_hot(
+    train: DataFrame, test: DataFrame, column: str, output: str, local_labels: int = LOCAL_LABELS
+) -> tuple[DataFrame, DataFrame, int]:
+    """Sparse one-hot vectors over the training levels for both tables, and their length."""
+    codes, few, places = sparse_levels(train, column, local_labels)
+    both = [apply_sparse(t, column, output, codes, few, places) for t in (train, test)]
+    return both[0], both[1], places
+
+
 def clean_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Cast the columns to double with -1 for null, NaN and infinities, in one projection."""
     cleaned = {c: finite_or(F.col(c).cast("double")) for c in columns}
@@ -189,7 +245,9 @@ class ModelMatrix:
     """Turns feature rows into model input: encode, code categories, clean, assemble.
 
     Fitted on training rows; ``also`` names further tables whose labels join the category
-    dictionaries.  ``encoding`` of the categories is ``codes`` or ``one_hot``.
+    dictionaries.  ``encoding`` of the categories is ``codes``, ``one_hot`` (a column per level)
+    or ``sparse`` (a sparse vector, for any number of levels).  What is learnt is written once,
+    from one scan of the training rows, and read by every later use.
     """
 
     def __init__(
@@ -198,13 +256,17 @@ class ModelMatrix:
         feature_cols: list[str],
         dictionaries: dict[str, tuple[DataFrame, bool]],
         levels: dict[str, list[str]],
+        sparse: dict[str, tuple[DataFrame, bool, int]] | None = None,
     ):
         self.encoder = encoder
         self.feature_cols = feature_cols
         self.dictionaries = dictionaries
         self.levels = levels
+        self.sparse = sparse or {}
         flags = [one_hot_name(c, v) for c, vs in levels.items() for v in vs]
-        self.names = [n for n in [*feature_cols, ENCODED_COL] if n not in levels] + flags
+        self.numbers = [n for n in [*feature_cols, ENCODED_COL] if n not in levels and n not in self.sparse] + flags
+        #: Of each place of the assembled vector; a place of a sparse column goes by its number.
+        self.names = self.numbers + [f"{c}[{i}]" for c, (_, _, places) in self.sparse.items() for i in range(places)]
 
     @classmethod
     def fit(
@@ -217,19 +279,38 @@ class ModelMatrix:
         encoding: str = "codes",
         also: list[DataFrame] | None = None,
     ) -> ModelMatrix:
-        if encoding not in ("codes", "one_hot"):
+        if encoding not in ("codes", "one_hot", "sparse"):
             raise ValueError(f"unknown encoding {encoding!r}")
         categorical = CATEGORICAL_COLS if categorical is None else categorical
         categorical = [c for c in categorical if c in feature_cols]
-        encoder = TargetEncoder.fit(train, encode_column, target)
-        dictionaries, levels = {}, {}
-        for c in categorical:
+        # One scan and one shuffle count the encoded column's targets and every category's labels.
+        keys = {c: f"_g{i}" for i, c in enumerate([encode_column, *categorical])}
+        rows = train.select(F.col(target).alias("_y"), *[F.col(c).cast("string").alias(k) for c, k in keys.items()])
+        sets = [[F.col(k)] for k in keys.values()]
+        learnt = rows.groupingSets(sets, *keys.values()).agg(F.grouping_id().alias("_set"), *_target_sums("_y"))
+        learnt = pin(learnt)
+
+        def of(column: str, place: int) -> DataFrame:
+            """The rows of one grouping set, with the column's own type."""
+            bit = 1 << (len(keys) - 1 - place)
+            kind = train.schema[column].dataType
+            own = learnt.where(F.col("_set") == (1 << len(keys)) - 1 - bit)
+            return own.withColumn("_label", F.col(keys[column]).cast(kind))
+
+        encoder = TargetEncoder.from_sums(of(encode_column, 0).withColumnRenamed("_label", "_category"), encode_column)
+        dictionaries, levels, sparse = {}, {}, {}
+        for place, c in enumerate(categorical, 1):
+            labels = of(c, place).select("_label").where(F.col("_label").isNotNull())
             if encoding == "codes":
-                tables = [t.select(c) for t in [train, *(also or [])]]
-                dictionaries[c] = label_dictionary(reduce(DataFrame.unionByName, tables), c)
+                others = [t.select(F.col(c).alias("_label")).where(F.col(c).isNotNull()) for t in also or []]
+                labels = reduce(DataFrame.unionByName, [labels, *others]).distinct() if others else labels
+                dictionaries[c] = _numbered(pin(labels))
+            elif encoding == "sparse":
+                codes, few = _numbered(labels)
+                sparse[c] = (codes, few, max(codes.count() - 1, 0))
             else:
-                levels[c] = one_hot_levels(train, c)
-        return cls(encoder, list(feature_cols), dictionaries, levels)
+                levels[c] = one_hot_levels(labels.withColumnRenamed("_label", c), c)
+        return cls(encoder, list(feature_cols), dictionaries, levels, sparse)
 
     def transform(
         self, df: DataFrame, target: str | None = RACE.pace, keep: list[str] | None = None
@@ -244,8 +325,13 @@ class ModelMatrix:
             out = apply_codes(out, c, c, codes, few)
         for c, values in self.levels.items():
             out = apply_one_hot(out, c, values)
-        assembler = VectorAssembler(inputCols=self.names, outputCol=FEATURES, handleInvalid="error")
-        ready = assembler.transform(clean_matrix(out, self.names))
+        vectors = [c for c, (_, _, places) in self.sparse.items() if places]
+        for c in vectors:
+            codes, few, places = self.sparse[c]
+            out = apply_sparse(out, c, c, codes, few, places)
+            out = VectorSizeHint(inputCol=c, size=places, handleInvalid="optimistic").transform(out)
+        assembler = VectorAssembler(inputCols=[*self.numbers, *vectors], outputCol=FEATURES, handleInvalid="error")
+        ready = assembler.transform(clean_matrix(out, self.numbers))
         label = [LABEL] if target else []
         return ready.select(FEATURES, *label, *[F.col(n).alias(c) for n, c in kept.items()])
 
@@ -258,11 +344,14 @@ class ModelMatrix:
         for i, (c, (codes, is_few)) in enumerate(self.dictionaries.items()):
             codes.write.mode("overwrite").parquet(f"{path}/codes_{i}")
             few[c] = is_few
+        for i, (codes, _, _) in enumerate(self.sparse.values()):
+            codes.write.mode("overwrite").parquet(f"{path}/sparse_{i}")
         facts = {
             "column": self.encoder.column,
             "feature_cols": self.feature_cols,
             "few": few,
             "levels": self.levels,
+            "sparse": {c: [is_few, places] for c, (_, is_few, places) in self.sparse.items()},
         }
         spark.createDataFrame([(json.dumps(facts),)], "facts string").write.mode("overwrite").parquet(
             f"{path}/facts"
@@ -277,7 +366,11 @@ class ModelMatrix:
         dictionaries = {
             c: (spark.read.parquet(f"{path}/codes_{i}"), few) for i, (c, few) in enumerate(facts["few"].items())
         }
-        return cls(encoder, facts["feature_cols"], dictionaries, facts["levels"])
+        sparse = {
+            c: (spark.read.parquet(f"{path}/sparse_{i}"), few, places)
+            for i, (c, (few, places)) in enumerate(facts.get("sparse", {}).items())
+        }
+        return cls(encoder, facts["feature_cols"], dictionaries, facts["levels"], sparse)
 
 
 def prepare_model_data(

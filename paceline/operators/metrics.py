@@ -105,6 +105,39 @@ def metrics_by_experience(
     return metrics_by_bin(df, races, edges, labels, "experience_range", **columns)
 
 
+def segment_report(
+    df: DataFrame,
+    bins: dict[str, tuple[str, list[float], list[str] | None]],
+    categories: list[str],
+    y_true: str = "y_true",
+    y_pred: str = "y_pred",
+) -> DataFrame:
+    """All segment reports in one pass: ``segment, value`` and the metrics; ``all`` is the whole table.
+
+    ``bins`` has (column, edges, labels) by segment name; values outside all bins don't show
+    in that segment, a null category is a value.  Grouping sets carry each row once into every
+    segment and combine before the one shuffle, which has one row per segment value and task.
+    """
+    labels = {n: bin_label(F.col(c), e, edge_labels(e) if t is None else t) for n, (c, e, t) in bins.items()}
+    labels |= {c: F.col(c).cast("string") for c in categories}
+    places = {name: f"_s{i}" for i, name in enumerate(labels)}
+    rows = df.select(
+        F.col(y_true).alias("_y"), F.col(y_pred).alias("_p"), *[c.alias(places[n]) for n, c in labels.items()]
+    )
+    sets = [[F.col(p)] for p in places.values()]
+    grouped = rows.groupingSets([*sets, []], *places.values()).agg(
+        F.grouping_id().alias("_id"), *metric_columns("_y", "_p"), *_counts("_y", "_p")
+    )
+    # Bit i of the id, from the highest down, is zero in the set of segment i only.
+    whole = (1 << len(places)) - 1
+    segment, value = F.lit("all"), F.lit(None).cast("string")
+    for i, (name, place) in enumerate(places.items()):
+        own = F.col("_id") == whole - (1 << (len(places) - 1 - i))
+        segment, value = F.when(own, name).otherwise(segment), F.when(own, F.col(place)).otherwise(value)
+    out = grouped.select(segment.alias("segment"), value.alias("value"), *METRICS, "count", "zero_targets")
+    return out.where(~F.col("segment").isin(list(bins)) | F.col("value").isNotNull())
+
+
 def compare_models(df: DataFrame, y_true: str, predictions: dict[str, str]) -> DataFrame:
     """Metrics of several prediction columns of one table, best MAE first.
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from itertools import product
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
@@ -18,7 +19,7 @@ from paceline.operators.encode import FEATURES, LABEL, ModelMatrix, prepare_mode
 from paceline.operators.folds import FOLD, kfold_ranges, time_folds
 from paceline.operators.metrics import regression_metrics, score_summary
 from paceline.schema import RACE, ROW_ID, RaceColumns, history_order
-from paceline.sources.scratch import shared_dir
+from paceline.sources.scratch import new_folder, shared_dir
 
 PREDICTION = "prediction"
 
@@ -151,8 +152,47 @@ def kfold_evaluation(
     return scores, score_summary(scores, "score")
 
 
-def feature_importance(model: GBTRegressionModel, names: list[str], df: DataFrame) -> DataFrame:
-    """Inputs by importance, largest first (gain-based, sums to one)."""
+def tree_nodes(model: GBTRegressionModel) -> DataFrame:
+    """One row per node of an ensemble: ``tree, node, feature, threshold, gain, rows, prediction``.
+
+    ``feature`` is the number of the input a node splits on, null for a leaf; ``threshold`` is
+    the largest value that goes left; ``rows`` are the training rows that reached the node
+    (of the sample its tree was grown on). The trees are read from the stored form of the
+    model, so the table is as large as they are and no node passes the driver.
+    """
+    spark = SparkSession.active()
+    path = new_folder(spark, "trees")
+    model.write().save(path)
+    node, inner = F.col("nodeData"), F.col("nodeData.leftChild") >= 0
+    numeric = inner & (F.col("nodeData.split.numCategories") < 0)
+    return spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"),
+        node["id"].alias("node"),
+        F.when(inner, node["split"]["featureIndex"]).alias("feature"),
+        F.when(numeric, F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0))).alias("threshold"),
+        F.when(inner, node["gain"]).alias("gain"),
+        node["rawCount"].alias("rows"),
+        node["prediction"].alias("prediction"),
+    )
+
+
+def split_counts(nodes: DataFrame, names: list[str]) -> DataFrame:
+    """How often each input is split on in a table of nodes; zero for one that never is."""
+    counts = nodes.where(F.col("feature").isNotNull()).groupBy("feature").agg(F.count(F.lit(1)).alias("splits"))
+    inputs = nodes.sparkSession.createDataFrame(list(enumerate(names)), "place int, name string")
+    found = inputs.join(counts, inputs.place == counts.feature, "left")
+    return found.select(F.col("name").alias("feature"), F.coalesce("splits", F.lit(0)).alias("splits"))
+
+
+def feature_importance(model: GBTRegressionModel, names: list[str], df: DataFrame, kind: str = "gain") -> DataFrame:
+    """Inputs by importance, largest first: ``gain`` (sums to one) or ``split`` (number of splits)."""
+    if kind == "split":
+        counts = split_counts(tree_nodes(model), names)
+        return counts.select("feature", F.col("splits").cast("double").alias("importance")).orderBy(
+            F.desc("importance"), "feature"
+        )
+    if kind != "gain":
+        raise ValueError(f"unknown importance {kind!r}")
     values = model.featureImportances.toArray()
     rows = [(n, float(v)) for n, v in zip(names, values)]
     table = df.sparkSession.createDataFrame(rows, "feature string, importance double")
@@ -166,12 +206,17 @@ def grid_search(
     order: list[str] | None = None,
     holdout_share: float = 0.2,
     folds: int = 3,
+    parallelism: int = 1,
 ) -> tuple[dict, DataFrame]:
     """Try every combination, lowest MAE wins; returns the best settings and all scores.
 
     ``selection`` says what is scored: the training rows themselves (``train``), the
     last rows in ``order`` (``holdout``), or expanding-window folds (``cv``).  The latter two
     need an ``order``: without one, nothing says which rows come later.
+
+    Up to ``parallelism`` combinations are fitted at once, over one cached input: the late
+    levels of a tree leave most of a cluster idle.  Seeds are fixed, so scores and the winner
+    (of equal ones the first in the grid) don't depend on it.
     """
     if selection in ("holdout", "cv") and not order:
         raise ValueError(f"selection {selection!r} needs an order")
@@ -189,12 +234,18 @@ def grid_search(
         raise ValueError(f"unknown selection {selection!r}")
 
     evaluator = RegressionEvaluator(labelCol=LABEL, predictionCol=PREDICTION, metricName="mae")
-    tried = []
-    with _cached(*{id(t): t for pair in pairs for t in pair}.values()):
-        for values in product(*grid.values()):
-            params = dict(zip(grid, values))
-            scores = [evaluator.evaluate(train_and_predict(fit, score, params)[1]) for fit, score in pairs]
-            tried.append((params, sum(scores) / len(scores)))
+    candidates = [dict(zip(grid, values)) for values in product(*grid.values())]
+
+    def mean_error(params: dict) -> float:
+        scores = [evaluator.evaluate(train_and_predict(fit, score, params)[1]) for fit, score in pairs]
+        return sum(scores) / len(scores)
+
+    tables = list({id(t): t for pair in pairs for t in pair}.values())
+    with _cached(*tables), ThreadPoolExecutor(max(1, parallelism)) as pool:
+        for t in tables:
+            t.count()  # else candidates that start together fill the cache several times
+        task = inheritable_thread_target(train.sparkSession)(mean_error)
+        tried = list(zip(candidates, pool.map(task, candidates)))
     best = min(tried, key=lambda t: t[1])[0]
     rows = [(", ".join(f"{k}={v}" for k, v in p.items()), float(s)) for p, s in tried]
     table = train.sparkSession.createDataFrame(rows, "params string, mae double")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paceline.functions.numeric import normal_quantile
+from paceline.operators.joins import join_lookup
 from paceline.operators.metrics import with_error
 from paceline.operators.ordered import broadcast_if, global_index, range_blocks, weighted_ranks
 from paceline.sources.scratch import pin
+from paceline.sources.tables import write_stage
 
 
 def _long(wide: DataFrame, entries: list[Column]) -> DataFrame:
@@ -90,18 +93,25 @@ def rows_over_time(df: DataFrame, column: str) -> DataFrame:
     return counts.orderBy(column)
 
 
-def data_overview(df: DataFrame) -> dict[str, DataFrame]:
-    """The overview panels: nulls, types, first numeric histogram, first category, time, bytes."""
+def data_overview(
+    df: DataFrame, number: str | None = None, category: str | None = None, time: str | None = None
+) -> dict[str, DataFrame]:
+    """The overview panels: nulls, types, bytes, and one of each role that a column has.
+
+    Say which column is the number, the category and the time; by default each is the first
+    column of a fitting type (dates and timestamps for the time).
+    """
+
+    def first(given: str | None, *kinds: type) -> str | None:
+        return given or next((f.name for f in df.schema.fields if isinstance(f.dataType, kinds)), None)
+
     panels = {"nulls": null_profile(df), "dtypes": dtype_profile(df), "bytes": column_bytes(df)}
-    numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    times = [c for c in df.columns if "date" in c.lower() or "time" in c.lower()]
-    if numeric:
-        panels["histogram"] = histogram(df, numeric[0], 30)
-    if texts:
-        panels["top_values"] = top_values(df, texts[0])
-    if times:
-        panels["rows_over_time"] = rows_over_time(df, times[0])
+    if number := first(number, T.NumericType):
+        panels["histogram"] = histogram(df, number, 30)
+    if category := first(category, T.StringType):
+        panels["top_values"] = top_values(df, category)
+    if time := first(time, T.DateType, T.TimestampType, T.TimestampNTZType):
+        panels["rows_over_time"] = rows_over_time(df, time)
     return panels
 
 
@@ -121,6 +131,25 @@ def added_columns(before: DataFrame, after: DataFrame) -> list[str]:
     return [c for c in after.columns if c not in before.columns]
 
 
+class StageWriter:
+    """Writes stages and notes their rows and columns on the way, without a job of its own."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.seen: list[tuple[str, int, int]] = []
+
+    def write(self, name: str, df: DataFrame, path: str, partition_by: str | None = None, then_by: list[str] | None = None) -> DataFrame:
+        """``write_stage``, observed: the stage read back."""
+        rows = Observation()
+        out = write_stage(df, path, partition_by, then_by, rows)
+        self.seen.append((name, rows.get["rows"] or 0, len(df.columns)))
+        return out
+
+    def counts(self) -> DataFrame:
+        """``stage, rows, columns`` of the stages written so far."""
+        return self.spark.createDataFrame(self.seen, "stage string, rows bigint, columns bigint")
+
+
 def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
     """Rows and columns per stage."""
     parts = [
@@ -138,7 +167,7 @@ def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
 # ---- distributions ----------------------------------------------------------
 
 
-def _finite(df: DataFrame, column: str, *keep: str) -> DataFrame:
+def _finite(df: DataFrame, column: str, *keep: str | Column) -> DataFrame:
     """The column as ``_v`` without nulls, NaN and infinities."""
     rows = df.select(*keep, F.col(column).cast("double").alias("_v"))
     return rows.filter(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") < float("inf")))
@@ -241,13 +270,53 @@ def box_stats(df: DataFrame, value: str, by: list[str] | None = None, reach: flo
 
 def category_distribution(df: DataFrame, category: str, value: str) -> DataFrame:
     """Box statistics, mean and sample deviation per category."""
-    moments = df.groupBy(F.col(category).alias("_cat")).agg(
-        F.avg(value).alias("mean"), F.stddev_samp(value).alias("std")
+    moments = _finite(df, value, F.col(category).alias("_cat")).groupBy("_cat").agg(
+        F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std")
     )
     boxes = box_stats(df, value, [category])
     return boxes.join(moments, F.col(category).eqNullSafe(F.col("_cat"))).drop("_cat")
 
 
+def density_by_category(
+    df: DataFrame, category: str, value: str, points: int = 100, cut: float = 2.0
+) -> DataFrame:
+    """Gaussian kernel density of the values of each category: ``category, point, x, density``.
+
+    The bandwidth is Scott's for the category, and its grid reaches ``cut`` bandwidths beyond
+    its extremes.  A category without two different values has no density and doesn't show;
+    null is a category.  Equal values are counted first; then every value adds to all grid
+    points of its category in one grouped aggregate, so no row is multiplied and a task
+    shuffles one row per category.  A category with any share of the rows is combined in
+    place: only its partial sums meet.
+    """
+    values = _finite(df, value, F.col(category).alias("_cat"))
+    facts = values.groupBy("_cat").agg(
+        F.count("_v").alias("_all"),
+        F.min("_v").alias("_low"),
+        F.max("_v").alias("_high"),
+        F.stddev_samp("_v").alias("_sd"),
+    )
+    facts = facts.where(F.col("_sd") > 0).withColumn("_h", F.col("_sd") * F.pow("_all", F.lit(-0.2)))
+    start, end = F.col("_low") - cut * F.col("_h"), F.col("_high") + cut * F.col("_h")
+    facts = pin(facts.select("_cat", "_all", "_h", start.alias("_start"), ((end - start) / (points - 1)).alias("_step")))
+    counted = values.groupBy("_cat", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    known = join_lookup(counted, facts, {"_cat": "_cat"}, "inner", null_safe=True)
+
+    def kernel(point: int) -> Column:
+        z = (F.col("_start") + point * F.col("_step") - F.col("_v")) / F.col("_h")
+        return F.sum(F.col("_n") * F.exp(-0.5 * z * z))
+
+    about = [F.first(c).alias(c) for c in ("_all", "_h", "_start", "_step")]
+    wide = known.groupBy("_cat").agg(F.array(*[kernel(k) for k in range(points)]).alias("_sums"), *about)
+    scale = F.col("_all") * F.col("_h") * (2 * math.pi) ** 0.5
+    return wide.select("*", F.posexplode("_sums").alias("point", "_sum")).select(
+        F.col("_cat").alias(category),
+        "point",
+        (F.col("_start") + F.col("point") * F.col("_step")).alias("x"),
+        (F.col("_sum") / scale).alias("density"),
+    )
+
+
 def scatter_sample(df: DataFrame, key: str, columns: list[str], share: float) -> DataFrame:
     """A repeatable sample for scatter plots: rows whose key hash falls in the first ``share``."""
     limit = f"{int(share * 16**6):06x}"
@@ -322,7 +391,7 @@ def residual_histogram(df: DataFrame, y_true: str, y_pred: str, bins: int = 50)
 
 def qq_points(df: DataFrame, value: str, key: str) -> DataFrame:
     """Ordered values against normal quantiles at the Filliben order-statistic medians."""
-    known = df.select(key, F.col(value).cast("double").alias("ordered")).filter(F.col("ordered").isNotNull())
+    known = _finite(df, value, key).withColumnRenamed("_v", "ordered")
     placed = global_index(known, ["ordered", key], "rank")
     n = placed.count()
     if n == 0:

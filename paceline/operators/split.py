@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceline.operators.history import TARGET_EVENT
+from paceline.operators.joins import free_names, join_lookup
 from paceline.schema import FEATURE_COLS, RACE, RaceColumns
+from paceline.sources.scratch import pin
 
 TEST_YEAR = 2022  # fixed value
 
@@ -31,15 +33,15 @@ def split_by_target_event(
     and on all rows of everyone else.
 
     An entity with several test rows is cut at the last of them; a null entity is one like
-    any other.  The join is left to adaptive execution, since nothing bounds the number of
-    test entities.
+    any other.  The cutoffs are written and counted: few are broadcast, so the table isn't
+    shuffled; with more, hot entities are joined apart.
     """
     is_test = (F.col(race.year) == test_year) & matches(race.event, target_event, case_insensitive, literal)
     test = df.filter(is_test)
-    cutoffs = test.groupBy(race.entity).agg(F.max(count_col).alias("_cutoff"))
-    cutoffs = cutoffs.withColumnRenamed(race.entity, "_test_entity")
-    joined = df.join(cutoffs, F.col(race.entity).eqNullSafe(F.col("_test_entity")), "left")
-    keep = F.col("_cutoff").isNull() | (F.col(count_col) < F.col("_cutoff"))
+    (cutoff,) = free_names(df.columns, ["_cutoff"])
+    cutoffs = pin(test.groupBy(race.entity).agg(F.max(count_col).alias(cutoff)))
+    joined = join_lookup(df, cutoffs, {race.entity: race.entity}, null_safe=True)
+    keep = F.col(cutoff).isNull() | (F.col(count_col) < F.col(cutoff))
     train = joined.filter(keep).select(*df.columns)
     return train, test, list(FEATURE_COLS)
 

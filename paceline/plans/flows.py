@@ -113,7 +113,7 @@ def _train_final(
         predicted.drop(encode.FEATURES, "rawPrediction"), f"{out}/predictions"
     )
     tables.write_predictions_csv(into.predictions, f"{out}/test_predictions", encode.LABEL, model.PREDICTION)
-    into.importance = model.feature_importance(fitted, matrix.names, train)
+    into.importance = model.feature_importance(fitted, matrix.names, train, "split")
     tables.write_importance_csv(into.importance, f"{out}/feature_importance")
     into.model_path = f"{out}/model"
     model.save_model(fitted, matrix, into.model_path)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,21 +74,92 @@ def malformed_cells(
     return wide.select(F.inline(F.array(*rows)))
 
 
+def bad_rows(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType = RAW_SCHEMA,
+    null_tokens: list[str] | None = None,
+    header: bool = True,
+) -> DataFrame:
+    """The lines of a CSV that don't parse: ``file, line, problem, cells, columns, record``.
+
+    ``problem`` is ``unclosed_quote`` (an odd number of quotes), ``too_few`` or ``too_many``
+    cells, or ``malformed`` when the ``columns`` named hold neither their type nor a missing
+    value.  ``record`` is the line as it stands (what a reader keeps in its corrupt-record
+    column), ``cells`` how many it has, ``line`` its number in the file, from 1.
+
+    Files are read in splits: a line's number is its place in the split, from row ids that
+    follow file order, plus the lines of the file's earlier splits, of which there are as many
+    as the scan has.  Blank lines are no records.  Only the split sums and the bad lines move.
+    """
+    tokens = NULL_TOKENS if null_tokens is None else null_tokens
+    lines = spark.read.text(path).select(
+        F.col("value").alias("record"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    splits = lines.groupBy("file", "_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    before = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_lines").over(before), F.lit(0)))
+
+    record = F.col("record")
+    quotes = F.length(record) - F.length(F.replace(record, F.lit('"'), F.lit("")))
+    # Whatever is quoted counts as one cell; a quote inside quotes is written twice.
+    bare = F.regexp_replace(record, '"[^"]*"', "")
+    cells = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+    as_text = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(schema.fields))])
+    parsed = F.from_csv(record, as_text.simpleString()[7:-1].replace(":", " "), {"quote": '"', "escape": '"'})
+    wrong = []
+    for i, f in enumerate(schema.fields):
+        if not isinstance(f.dataType, T.StringType):
+            c = null_if_token(F.col("_cells").getField(f"c{i}"), tokens)
+            wrong.append(F.when(c.isNotNull() & c.try_cast(f.dataType).isNull(), F.lit(f.name)))
+    expected = len(schema.fields)
+    problem = (
+        F.when(F.col("_quotes") % 2 == 1, "unclosed_quote")
+        .when(F.col("cells") < expected, "too_few")
+        .when(F.col("cells") > expected, "too_many")
+        .when(F.size("columns") > 0, "malformed")
+    )
+    whole = (F.col("_quotes") % 2 == 0) & (F.col("cells") == expected)
+    named = F.filter(F.array(*wrong), lambda c: c.isNotNull()) if wrong else F.array().cast("array<string>")
+    found = (
+        lines.where(F.trim(record) != "")
+        .withColumns({"_quotes": quotes, "cells": cells, "_cells": parsed})
+        .withColumn("columns", F.when(whole, named))
+        .withColumn("problem", problem)
+        .where(F.col("problem").isNotNull())
+    )
+    placed = found.join(splits, ["file", "_start"]).withColumn(
+        "line", F.col("_before") + F.col("_id") - F.col("_first") + 1
+    )
+    out = placed.where(F.col("line") > 1) if header else placed
+    return out.select("file", "line", "problem", "cells", "columns", "record")
+
+
 def read_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
     """CSV with inferred types (costs an extra pass over the file)."""
     return spark.read.option("header", True).option("inferSchema", True).csv(path)
 
 
 def write_stage(
-    df: DataFrame, path: str, partition_by: str | None = None, then_by: list[str] | None = None
+    df: DataFrame,
+    path: str,
+    partition_by: str | None = None,
+    then_by: list[str] | None = None,
+    rows: Observation | None = None,
 ) -> DataFrame:
     """Write one stage as snappy Parquet and return it read back, so it is computed once.
 
     With ``partition_by``, rows are first ranged on it and ``then_by``: a large partition
-    is spread over many tasks, and a task writes files for few partitions only.
+    is spread over many tasks, and a task writes files for few partitions only.  ``rows``
+    gets the number of rows while they are written.
     """
     if partition_by:
         df = df.repartitionByRange(partition_by, *(then_by or []))
+    if rows is not None:  # above the range shuffle, whose sampling must not count
+        df = df.observe(rows, F.count(F.lit(1)).alias("rows"))
     writer = df.write.mode("overwrite").option("compression", "snappy")
     if partition_by:
         writer = writer.partitionBy(partition_by)

@@ -55,3 +55,14 @@ def test_audits(spark):
 def test_distinct_reduction(spark):
     df = spark.createDataFrame([("a1", "a"), ("a2", "a"), ("b", "b"), ("b", "b")], "x string, y string")
     assert tuple(clean.distinct_reduction(df, "x", "y").first()) == pytest.approx((3, 2, 100 / 3))
+
+
+def test_long_list_of_names(spark):
+    names = [(f"Race  {i} (A|B)",) for i in range(3000)] + [(None,), ("race 5 (a|b) ",)]
+    rows = [(1, "RACE 7 (a|b)"), (2, " race 2999  (A|B)"), (3, "Race 3000 (A|B)"), (4, None), (5, "other"), (6, "a Race 7 (A|B)")]
+    df = spark.createDataFrame(rows, "_listed int, name string")
+    kept = clean.drop_listed_events(df, "name", spark.createDataFrame(names, "event string"), "event")
+    assert kept.columns == df.columns
+    assert sorted(r["_listed"] for r in kept.collect()) == [3, 5, 6]
+    none = spark.createDataFrame([], "event string")
+    assert clean.drop_listed_events(df, "name", none, "event").count() == 5

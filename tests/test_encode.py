@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paceline.operators import encode
+from paceline.operators.joins import join_lookup
 
 SCHEMA = "`Event_name_clean` string, pace_min_per_km double"
 
@@ -88,8 +89,55 @@ def test_model_matrix_round_trip(spark, tmp_path, encoding, width):
     assert sorted(r.label for r in ready.collect()) == [5.0, 6.0]
 
 
-def test_join_side_is_not_forced(spark):
-    """Weights have no size bound, so the plan must not carry a broadcast hint."""
+def test_join_side_is_forced_only_when_counted(spark, monkeypatch):
+    """Weights are broadcast up to a counted number of rows; beyond it the plan carries no hint."""
     df = spark.range(10).select(F.col("id").cast("string").alias("Event_name_clean"), F.lit(1.0).alias("pace_min_per_km"))
-    a, _ = encode.target_encode(df, df)
-    assert "ResolvedHint" not in a._jdf.queryExecution().analyzed().toString()
+    for bound, hinted in ((10, True), (9, False)):
+        monkeypatch.setattr(encode, "join_lookup", lambda *a, n=bound, **k: join_lookup(*a, **k, broadcast_rows=n))
+        a, _ = encode.target_encode(df, df)
+        assert ("ResolvedHint" in a._jdf.queryExecution().analyzed().toString()) == hinted
+
+
+def test_one_scan_of_the_training_rows_per_fit(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = [("M", 1.0, "a", 5.0), ("F", 2.0, "b", 6.0), (None, 3.0, None, None)]
+    train = spark.createDataFrame(rows, f"`Athlete gender` string, x double, {SCHEMA}")
+    train = train.mapInArrow(counted, train.schema)
+    for encoding in ("codes", "sparse"):
+        before = read.value
+        matrix = encode.ModelMatrix.fit(train, ["Athlete gender", "x"], encoding=encoding)
+        assert read.value == before + 3
+        # What is learnt stays as it is, however often it is used or stored.
+        new = spark.createDataFrame([("F", 1.0, "a")], "`Athlete gender` string, x double, Event_name_clean string")
+        assert matrix.transform(new, target=None).count() == 1
+        assert read.value == before + 3
+
+
+@pytest.mark.parametrize("local", [10_000, 100])
+def test_sparse_one_hot_of_many_levels(spark, local):
+    names = [f"level {i:04d}" for i in range(1500)]
+    train = spark.createDataFrame([(n, i) for i, n in enumerate(names)] + [(None, -1)], "g string, _place int")
+    test = spark.createDataFrame([("level 0007", 1), ("level 0000", 2), ("other", 3), (None, 4)], "g string, _place int")
+    a, b, places = encode.sparse_one_hot(train, test, "g", "v", local)
+    assert places == 1499 and a.columns == ["g", "_place", "v"]
+    for r in a.collect():
+        assert r.v.size == 1499 and list(r.v.indices) == ([r["_place"] - 1] if r["_place"] > 0 else [])
+    assert {r["_place"]: list(zip(r.v.indices, r.v.values)) for r in b.collect()} == {1: [(6, 1.0)], 2: [], 3: [], 4: []}
+
+
+def test_model_matrix_of_many_levels(spark, tmp_path):
+    rows = [(f"l{i % 1200:04d}", float(i), "a", 5.0 + i % 3) for i in range(2400)]
+    train = spark.createDataFrame(rows, f"`Athlete gender` string, x double, {SCHEMA}")
+    matrix = encode.ModelMatrix.fit(train, ["Athlete gender", "x"], encoding="sparse")
+    assert len(matrix.names) == 2 + 1199 and matrix.names[2] == "Athlete gender[0]"
+    matrix.save(str(tmp_path / "m"))
+    loaded = encode.ModelMatrix.load(spark, str(tmp_path / "m"))
+    for m in (matrix, loaded):
+        got = {r.x: r.features for r in m.transform(train, keep=["x"]).collect()}
+        assert got[0.0].size == 1201 and list(got[5.0].indices) == [0, 1, 2 + 4] and got[5.0][6] == 1.0

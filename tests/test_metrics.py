@@ -67,3 +67,26 @@ def test_models_sorted_by_error_in_one_scan(spark):
 def test_score_summary(spark):
     df = spark.createDataFrame([(1.0,), (3.0,)], "s double")
     assert tuple(metrics.score_summary(df, "s").first()) == (2, 1, 1, 3)
+
+
+def test_segment_report_equals_the_single_reports(spark):
+    rows = [(float(i), float(i) + (i % 4) / 2, i * 13 % 230, "MF"[i % 2] if i % 7 else None, i * 3 % 130) for i in range(60)]
+    df = spark.createDataFrame(rows, "y_true double, y_pred double, distance int, gender string, num_races int")
+    bins = {
+        "distance_range": ("distance", metrics.DISTANCE_BINS, metrics.DISTANCE_LABELS),
+        "experience_range": ("num_races", [0, 5, 20], None),
+    }
+    out = metrics.segment_report(df, bins, ["gender"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Scan") == 1
+    got = {(r.segment, r.value): tuple(r)[2:] for r in out.collect()}
+    single = {
+        "distance_range": metrics.metrics_by_distance(df),
+        "experience_range": metrics.metrics_by_experience(df, bins=[0, 5, 20]),
+        "gender": metrics.metrics_by(df, "gender"),
+    }
+    want = {(name, r[0]): tuple(r)[1:] for name, t in single.items() for r in t.collect()}
+    want["all", None] = tuple(metrics.regression_metrics(df).first())
+    assert set(got) == set(want) and ("gender", None) in got
+    for key, values in want.items():
+        assert got[key] == tuple(pytest.approx(v) if isinstance(v, float) else v for v in values)

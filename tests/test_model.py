@@ -1,4 +1,5 @@
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from conftest import race_row, race_table
@@ -159,3 +160,29 @@ def test_scoring_a_stream(spark, toy, tmp_path):
     )
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_split_counts_are_those_of_the_trees(spark):
+    rows = [(float(i % 7), float(i % 5), float(i % 3), (i % 7) * 2.0 + (i % 5) * (i % 11)) for i in range(400)]
+    df = spark.createDataFrame(rows, "a double, b double, unused double, label double").withColumn("unused", F.lit(1.0))
+    ready = VectorAssembler(inputCols=["a", "b", "unused"], outputCol="features").transform(df)
+    fitted, _ = model.train_and_predict(ready, ready, SMALL)
+    nodes = model.tree_nodes(fitted)
+    listing = fitted.toDebugString  # each split is listed as an If and an Else
+    want = {name: listing.count(f"If (feature {i} <=") for i, name in enumerate(["a", "b", "unused"])}
+    counts = model.split_counts(nodes, ["a", "b", "unused"])
+    assert {r.feature: r.splits for r in counts.collect()} == want and want["unused"] == 0 and want["a"] > 0
+    assert nodes.count() == sum(t.numNodes for t in fitted.trees)
+    assert nodes.where("feature is null").count() == sum((t.numNodes + 1) // 2 for t in fitted.trees)
+    table = model.feature_importance(fitted, ["a", "b", "unused"], ready, "split").collect()
+    assert [r.importance for r in table] == sorted(want.values(), reverse=True)
+    with pytest.raises(ValueError):
+        model.feature_importance(fitted, ["a", "b", "unused"], ready, "other")
+
+
+def test_search_in_parallel_gives_the_same(toy):
+    ready, _ = toy
+    grid = {"n_estimators": [1, 3], "num_leaves": [2, 4], "learning_rate": [0.5]}
+    one = model.grid_search(ready, grid, "holdout", ["id"])
+    four = model.grid_search(ready, grid, "holdout", ["id"], parallelism=4)
+    assert one[0] == four[0] and one[1].collect() == four[1].collect()

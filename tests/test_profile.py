@@ -1,3 +1,4 @@
+import math
 import random
 from statistics import NormalDist
 
@@ -24,7 +25,9 @@ def known(sample, group="all"):
 
 
 def test_overview(sample):
-    panels = profile.data_overview(sample.withColumn("date", F.lit("x")))
+    panels = profile.data_overview(sample.withColumn("date", F.lit("x")), time="date")
+    typed = profile.data_overview(sample.withColumn("when", F.lit("2020-01-01").cast("date")))
+    assert "rows_over_time" in typed and "rows_over_time" not in profile.data_overview(sample)
     assert set(panels) == {"nulls", "dtypes", "bytes", "histogram", "top_values", "rows_over_time"}
     nulls = {r["column"]: (r.nulls, r.null_pct) for r in panels["nulls"].collect()}
     assert nulls["v"] == (1, pytest.approx(100 / 601)) and nulls["id"] == (0, 0)
@@ -136,3 +139,54 @@ def test_kde(sample):
     want = np.exp(-0.5 * ((xs[:, None] - values) / width) ** 2).sum(1) / (len(values) * width * np.sqrt(2 * np.pi))
     assert [r.x for r in got] == pytest.approx(xs.tolist())
     assert [r.density for r in got] == pytest.approx(want.tolist())
+
+
+def test_density_by_category(spark):
+    rng = random.Random(3)
+    rows = [("a", rng.gauss(0, 1)) for _ in range(200)] + [(None, rng.gauss(5, 2)) for _ in range(50)]
+    rows += [("one", 1.0)] * 5 + [("a", None), ("a", float("nan")), ("a", float("inf")), ("two", 1.0), ("two", 1.0), ("two", 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    out = profile.density_by_category(df, "g", "v", 20)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.g, {})[r.point] = (r.x, r.density)
+    assert set(got) == {"a", None, "two"}
+    for g, curve in got.items():
+        vs = [v for h, v in rows if h == g and v is not None and math.isfinite(v)]
+        mean = sum(vs) / len(vs)
+        width = math.sqrt(sum((v - mean) ** 2 for v in vs) / (len(vs) - 1)) * len(vs) ** -0.2
+        low, high = min(vs) - 2 * width, max(vs) + 2 * width
+        for k in range(20):
+            x = low + k * (high - low) / 19
+            d = sum(math.exp(-0.5 * ((x - v) / width) ** 2) for v in vs) / (len(vs) * width * math.sqrt(2 * math.pi))
+            assert curve[k] == (pytest.approx(x), pytest.approx(d))
+    assert profile.density_by_category(df.limit(0), "g", "v").count() == 0
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # rows appear above the sums only
+
+
+def test_stages_are_counted_while_they_are_written(spark, tmp_path):
+    writer = profile.StageWriter(spark)
+    context = spark.sparkContext
+
+    def jobs(group, write):
+        context.setJobGroup(group, group)
+        write()
+        context.setJobGroup("rest", "rest")
+        return len(context.statusTracker().getJobIdsForGroup(group))
+
+    df = spark.range(0, 1000, 1, 4).withColumn("year", F.col("id") % 3)
+    plain = jobs("plain", lambda: profile.write_stage(df, str(tmp_path / "p"), "year", ["id"]))
+    noted = jobs("noted", lambda: writer.write("one", df, str(tmp_path / "o"), "year", ["id"]))
+    assert noted == plain
+    two = writer.write("two", df.where("id < 10"), str(tmp_path / "t"))
+    assert two.count() == 10
+    writer.write("none", df.limit(0), str(tmp_path / "n"))
+    assert [tuple(r) for r in writer.counts().collect()] == [("one", 1000, 2), ("two", 10, 2), ("none", 0, 2)]
+
+
+def test_values_that_are_not_finite_have_no_rank(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, float("nan")), (3, float("inf")), (4, None), (5, 1.0)], "k int, v double")
+    assert sorted(r.k for r in profile.qq_points(df, "v", "k").collect()) == [1, 5]
+    found = profile.category_distribution(df.withColumn("g", F.lit("x")), "g", "v").first()
+    assert (found["mean"], found.rows) == (1.5, 2)

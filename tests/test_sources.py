@@ -1,6 +1,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import types as T
 
 from conftest import race_row, race_table
 from paceline.schema import RAW_SCHEMA
@@ -97,3 +98,38 @@ def test_spread(spark):
     assert tables.spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     many = spark.range(100, numPartitions=64)
     assert tables.spread(many) is many
+
+
+def test_bad_rows_with_file_and_line(spark, tmp_path):
+    """Lines of all kinds over several files, some of them read in several splits."""
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("name", T.StringType()), T.StructField("x", T.DoubleType())])
+    kinds = {
+        0: ("{k},ab,1.5", None), 1: ('{k},"a,b",2', None), 2: ('{k},"say ""so"", ok",2', None), 3: ('{k},"open,3', "unclosed_quote"),
+        4: ("{k},few", "too_few"), 5: ("{k},a,b,4", "too_many"), 6: ("k{k},a,x", "malformed"), 7: ("{k},,NULL", None), 8: ("", None),
+        9: ('{k},a,"1""', "unclosed_quote"), 10: ("{k}", "too_few"), 11: ("{k},a,1e", "malformed"),
+    }
+    want = {}
+    for f in range(3):
+        lines = ["k,name,x"]
+        for i in range(4000):
+            text, problem = kinds[(i * 7 + f) % 12]
+            lines.append(text.format(k=i))
+            if problem:
+                want[f"f{f}.csv", len(lines)] = (problem, lines[-1])
+        (tmp_path / f"f{f}.csv").write_text("\n".join(lines) + "\n")
+    split = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(split)
+    spark.conf.set(split, "9000")
+    try:
+        bad = tables.bad_rows(spark, str(tmp_path), schema)
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 6
+        got = {(r.file.rsplit("/")[-1], r.line): r for r in bad.collect()}
+    finally:
+        spark.conf.set(split, before)
+    assert {k: (r.problem, r.record) for k, r in got.items()} == want
+    for r in got.values():
+        wrong = ["k", "x"] if r.record.startswith("k") else ["x"]
+        assert (r.columns or []) == (wrong if r.problem == "malformed" else [])
+        if r.problem.startswith("too"):
+            assert r.cells == r.record.count(",") + 1
+    assert bad.columns == ["file", "line", "problem", "cells", "columns", "record"]
