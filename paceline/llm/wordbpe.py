@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable, Iterator
 from itertools import repeat
 
@@ -22,7 +23,9 @@ class WordEncoder:
     """Encodes texts word by word; equal words are encoded once while the table holds them.
 
     Right for tokenizers that lower the case of letters, separate at white space and drop it,
-    which is tried when the file is read. Strings of special tokens are ordinary text.
+    which is tried when the file is read. Texts are cut at the strings of the tokenizer's added
+    tokens first, as the library does: they are found as they stand, whatever is around them,
+    and only what lies between is lowered and looked up.
     """
 
     def __init__(self, path: str, table_words: int = TABLE_WORDS):
@@ -30,6 +33,13 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = {t.content: (k, t) for k, t in self.tokenizer.get_added_tokens_decoder().items()}
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for _, t in added.values()):
+            raise ValueError(f"{path}: added tokens depend on the text around them")
+        self.added = {content: k for content, (k, _) in added.items()}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cuts = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None
+        # A lowered word may read like an added token without being one.
         self.tokenizer.encode_special_tokens = True
         if self._whole(" A\n b\t") != self._whole("a") + self._whole("b") or len(self._whole(MARK)) != 1:
             raise ValueError(f"{path}: white space or case is part of the tokens")
@@ -85,7 +95,11 @@ class WordEncoder:
         """Encode new words; of letters with end marks after them, the two parts."""
         stems: dict[bytes, None] = {}
         parts = []
+        added = [w for w in words if w.startswith(b" ")]
+        self._add(added, [np.array([self.added[w[1:].decode()]], np.uint32) for w in added])
         for word in words:
+            if word.startswith(b" "):
+                continue
             stem = word.rstrip(ENDS)
             if stem != word and stem.decode().isalpha():
                 parts.append((word, stem))
@@ -122,12 +136,21 @@ class WordEncoder:
         where = np.repeat(self.start[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
         return self.ids[where], sizes
 
+    def _split(self, text: str) -> list[bytes]:
+        """The words of a text, lowered; an added token is one with a blank before it, as no word has."""
+        if not any(a in text for a in self.added):
+            return text.encode().lower().split()
+        out: list[bytes] = []
+        for i, part in enumerate(self.cuts.split(text)):
+            out += [b" " + part.encode()] if i % 2 else part.encode().lower().split()
+        return out
+
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """Unsigned 32-bit ids of each text; none for null."""
         words: list[bytes] = []
         bounds = [0]
         for text in texts:
-            words += (text or "").encode().lower().split()
+            words += self._split(text or "")
             bounds.append(len(words))
         parts = [self._words(words[i : i + SLICE]) for i in range(0, len(words), SLICE)]
         if not parts:

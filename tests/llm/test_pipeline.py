@@ -86,7 +86,6 @@ def test_packing(stages):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     sizes = [(i or 0, 0, len(t.encode(x, add_special_tokens=False).ids) + 1) for i, x in listed(stages[4], "doc_id", "text")]
     check_packing(stages[5].collect(), 4096, sizes)
 

@@ -12,13 +12,13 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
     "Hello world, it's  a\ttest.\r\n", "", None, " \n ", "ÀÉ é Ǆ ΣΑΣ ΟΔΟΣ İ ß", "a b c\u0085d\x1ce",
     "日本語 テキスト 123 4567", "\x00 null \x00mark\x00", "<|endoftext|> <|startoftext|>x", "naïve café 😀😀 !!!???", "w " * 5000,
-    "x" * 3000, " ́b ́",
+    "x" * 3000, " ́b ́", "a <|endoftext|> b", "É<|endoftext|>É<|startoftext|><|endoftext|>.", "<|ENDOFTEXT|> <|endoftext| <|endoftext|>",
+    "e<|endoftext|>\u0301",
 ]
 
 
 def whole(texts):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
