@@ -6,12 +6,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paceline.llm.graph import components
+from paceline.operators.ordered import broadcast_if
 from paceline.sources.scratch import pin
 
 #: Vectors that the codebooks and the number of visited cells are fitted on.
@@ -75,6 +76,17 @@ class Index:
         return (sorted_codes[0][:, i] * k + sorted_codes[1][:, j])[np.arange(len(x))[:, None], first]
 
 
+def codes_for(rows: int) -> int:
+    """Codes of each half for so many vectors."""
+    return int(np.clip(round((rows / CELL_ROWS) ** 0.5), 1, MAX_CODES))
+
+
+def one_cell(dims: int) -> Index:
+    """The index of vectors too few for several cells."""
+    half = -(-dims // 2)
+    return Index(np.zeros((1, half)), np.zeros((1, dims - half)))
+
+
 def fit(sample: np.ndarray, rows: int, cosine: float, target: float = TARGET_RECALL) -> Index:
     """Codebooks from a sample of unit vectors, and how many cells to visit.
 
@@ -85,7 +97,7 @@ def fit(sample: np.ndarray, rows: int, cosine: float, target: float = TARGET_REC
     """
     rng = np.random.default_rng(11)
     half = -(-sample.shape[1] // 2)
-    codes = int(np.clip(round((rows / CELL_ROWS) ** 0.5), 1, min(MAX_CODES, len(sample))))
+    codes = min(codes_for(rows), len(sample))
     index = Index(_kmeans(sample[:, :half], codes, rng), _kmeans(sample[:, half:], codes, rng))
     x = sample[rng.choice(len(sample), min(len(sample), 1000), replace=False)]
     other = rng.normal(size=x.shape)
@@ -106,7 +118,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(len(column), -1)
 
 
-def _tile(index: Index, cosine: float, cell: int, members: dict, visitors: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tile(index: Index, cosine: float, members: dict, visitors: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links of one tile: counts for members and visitors, and edges that connect what is linked."""
     m, v = members["x"], visitors["x"]
     near = v @ m.T >= cosine
@@ -139,51 +151,62 @@ def _tile(index: Index, cosine: float, cell: int, members: dict, visitors: dict)
 def links(vectors: DataFrame, cosine: float = 0.9, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``id, n, other``: partial link counts (``n``) and connecting edges (``other``) of unit-free vectors.
 
-    ``vectors`` has distinct ``x`` (arrays of one length), the smallest ``id`` of each, and
-    ``n``, how many rows share it. Every vector is indexed in one cell and visits several;
+    ``vectors`` has distinct ``x``, the smallest ``id`` of each, and ``n``, how many rows share
+    it. Each length of vectors has an index of its own. Every vector is indexed in one cell and visits several;
     a pair is compared in full, in double precision, where either visits the other's cell.
     Cells and their visitors are cut into tiles of bounded size; each tile returns counts
     and a forest, never its pairs.
     """
     spark = vectors.sparkSession
-    n = vectors.count()
-    sample = vectors.orderBy(F.xxhash64("id")).limit(sample_rows).select("x").toArrow()
-    if not n:
+    models: dict[int, Index] = {}
+    # One row per length; only those with vectors for several cells need codebooks.
+    for d, n in vectors.groupBy(F.size("x").alias("d")).count().orderBy("d").collect():
+        if codes_for(n) == 1:
+            models[d] = one_cell(d)
+            continue
+        sample = vectors.where(F.size("x") == d).orderBy(F.xxhash64("id")).limit(sample_rows).select("x").toArrow()
+        models[d] = fit(unit(_matrix(sample["x"])), n, cosine)
+    if not models:
         return spark.createDataFrame([], "id long, n long, other long")
-    model = fit(unit(_matrix(sample["x"])), n, cosine)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = unit(_matrix(batch.column(0))) if len(batch) else np.zeros((0, 1))
-            cells = [model.nearest(x[i : i + BLOCK], model.visits) for i in range(0, len(x), BLOCK)]
-            cells = np.concatenate(cells) if cells else np.zeros((0, 1))
-            listed = pa.array(list(cells.astype(np.int32)), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, listed], ["x", "id", "n", "cells"])
+            lengths = pc.list_value_length(batch.column(0))
+            for d in lengths.unique().to_pylist():
+                model, own = models[d], batch.filter(pc.equal(lengths, d))
+                x = unit(_matrix(own.column(0)))
+                cells = np.concatenate([model.nearest(x[i : i + BLOCK], model.visits) for i in range(0, len(x), BLOCK)])
+                listed = pa.array(list(cells.astype(np.int32)), pa.list_(pa.int32()))
+                size = pa.array(np.full(len(x), d), pa.int32())
+                yield pa.RecordBatch.from_arrays([*own.columns, size, listed], ["x", "id", "n", "d", "cells"])
 
     kind = dict(vectors.dtypes)["x"]
-    placed = pin(vectors.select("x", "id", "n").mapInArrow(place, f"x {kind}, id long, n long, cells array<int>"))
-    members = placed.select("x", "id", "n", F.col("cells")[0].alias("cell"))
-    again = [F.col(c).alias(f"v_{c}") for c in ("x", "id", "n")]
+    placed = vectors.select("x", "id", "n").mapInArrow(place, f"x {kind}, id long, n long, d int, cells array<int>")
+    placed = pin(placed)
+    members = placed.select("x", "id", "n", "d", F.col("cells")[0].alias("cell"))
+    again = [F.col(c).alias(f"v_{c}") for c in ("x", "id", "n")] + [F.col("d")]
     visitors = placed.select(*again, F.col("cells")[0].alias("v_home"), F.explode("cells").alias("cell"))
     parts = lambda rows, name: F.ceil(rows / TILE_ROWS).cast("int").alias(name)
-    sizes = placed.select(F.posexplode("cells").alias("p", "cell")).groupBy("cell").agg(
+    sizes = placed.select("d", F.posexplode("cells").alias("p", "cell")).groupBy("d", "cell").agg(
         F.sum(F.when(F.col("p") == 0, 1).otherwise(0)).alias("m"), F.count("*").alias("v")
     )
-    # One row per cell, of which there are at most MAX_CODES squared.
-    sizes = F.broadcast(sizes.where("m > 0").select("cell", parts(F.col("m"), "mp"), parts(F.col("v"), "vp")))
+    sizes = sizes.where("m > 0").select("d", "cell", parts(F.col("m"), "mp"), parts(F.col("v"), "vp"))
+    # One row per cell: as many as the codebooks of all lengths have.
+    sizes = broadcast_if(sizes, sum(m.codes**2 for m in models.values()))
     own = lambda name, count: F.pmod(F.xxhash64(name), F.col(count)).cast("int")
     each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    members = members.join(sizes, "cell").select("x", "id", "n", "cell", own("id", "mp").alias("mp"), each("vp").alias("vp"))
-    visitors = visitors.join(sizes, "cell").select(
-        "v_x", "v_id", "v_n", "v_home", F.col("cell").alias("v_cell"), own("v_id", "vp").alias("v_vp"), each("mp").alias("v_mp")
-    )
+    members = members.join(sizes, ["d", "cell"]).select("x", "id", "n", "d", "cell", own("id", "mp").alias("mp"), each("vp").alias("vp"))
+    visitors = visitors.join(sizes, ["d", "cell"]).select(
+        "v_x", "v_id", "v_n", "v_home", F.col("d").alias("v_d"), F.col("cell").alias("v_cell"),
+        own("v_id", "vp").alias("v_vp"), each("mp").alias("v_mp"),
+    )
 
     def compare(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         side = lambda t: {k: t[k].to_numpy() for k in ("id", "n", "home") if k in t.column_names} | {"x": unit(_matrix(t["x"]))}
         if not len(left) or not len(right):
             return pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
         m, v = side(left), side(right.rename_columns([c.removeprefix("v_") for c in right.column_names]))
-        for_visitor, for_member, edges = _tile(model, cosine, 0, m, v)
+        for_visitor, for_member, edges = _tile(models[key[0].as_py()], cosine, m, v)
         ids = np.concatenate([v["id"], m["id"]])
         counts = np.concatenate([for_visitor, for_member])
         ids, counts = ids[counts > 0], counts[counts > 0]
@@ -196,7 +219,7 @@ def links(vectors: DataFrame, cosine: float = 0.9, sample_rows: int = SAMPLE_ROW
             }
         )
 
-    tiles = members.groupBy("cell", "mp", "vp").cogroup(visitors.groupBy("v_cell", "v_mp", "v_vp"))
+    tiles = members.groupBy("d", "cell", "mp", "vp").cogroup(visitors.groupBy("v_d", "v_cell", "v_mp", "v_vp"))
     return tiles.applyInArrow(compare, "id long, n long, other long")
 
 
@@ -206,16 +229,13 @@ def near_duplicates(
     """``vec_id, n_links, component_id, kept`` of every row.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with
-    nothing, and so do vectors of another length than most have (the shorter of two equally
-    frequent ones counts). Rows with one vector are one node, however many there are. A null
-    id links with nothing and is its own; repeated rows of one id count each.
+    nothing; others link with vectors of their own length. Rows with one vector are one node,
+    however many there are. A null id links with nothing and is its own; repeated rows of
+    one id count each.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("x"))
     good = F.exists("x", lambda v: v != 0) & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    fine = rows.where("id is not null").where(F.coalesce(good, F.lit(False)))
-    lengths = fine.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    size = lengths[0].d if lengths else 0
-    usable = F.coalesce(good & (F.size("x") == size) & F.col("id").isNotNull(), F.lit(False))
+    usable = F.coalesce(good & F.col("id").isNotNull(), F.lit(False))
     classes = pin(rows.where(usable).groupBy("x").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
     found = pin(links(classes.select("x", F.col("rep").alias("id"), "n"), cosine))
     counts = found.where("n is not null").groupBy("id").agg(F.sum("n").alias("links"))

@@ -56,10 +56,39 @@ def test_visits_are_in_order():
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [1.0, None])]
+    rows += [(20, [3.0, 4.0, 0.0]), (21, [3.0, 4.0, 0.5]), (22, [6.0, 8.0, 0.0]), (23, [2.0]), (24, [5.0]), (25, [-5.0])]
     rows += [(9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (10, [1.0, 0.0]), (10, [1.0, 0.0]), (11, [-0.0, 5.0]), (12, [1e300, 1e299])]
     docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted(((r.vec_id or 0), r.n_links, r.component_id or 0, r.kept) for r in multiindex.near_duplicates(docs).collect())
-    alone = [(i, 0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 11)]
+    alone = [(i, 0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 11, 25)]
+    alone += [(20, 2, 20, True), (21, 2, 20, False), (22, 2, 20, False), (23, 1, 23, True), (24, 1, 23, False)]
     linked = [(1, 4, 1, True), (2, 4, 1, False), (10, 4, 1, False), (10, 4, 1, False), (12, 4, 1, False)]
     assert got == sorted([(0, 0, 0, True), *alone, *linked])
     assert multiindex.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_recall_with_thousands_of_cells(spark, monkeypatch):
+    monkeypatch.setattr(multiindex, "CELL_ROWS", 2)
+    x = data(5, 6000, 48)
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    n, label = brute(x, range(len(x)))
+    got = sorted(multiindex.near_duplicates(docs).collect())
+    found = np.array([r.n_links for r in got])
+    assert multiindex.codes_for(len(x)) ** 2 > 2500
+    assert (found <= n).all() and found.sum() >= 0.97 * n.sum()
+    assert (np.array([r.component_id for r in got]) == label).mean() > 0.97
+
+
+def test_equal_vectors_of_any_length_link(spark):
+    """Several lengths, one of them with many cells."""
+    rng = np.random.default_rng(9)
+    x = [rng.normal(size=d) for d in [3] * 40 + [7] * 900 + [8] * 5]
+    x = [v for v in x for _ in range(2)]
+    x = [v.astype(np.float32) * (1 + i % 2) for i, v in enumerate(x)]  # pairs of equal direction
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in multiindex.near_duplicates(docs).collect()}
+    for d in (3, 7, 8):
+        ids = [i for i, v in enumerate(x) if len(v) == d]
+        n, _ = brute(np.array([x[i] for i in ids]), ids)
+        assert all(got[i].n_links >= 1 for i in ids) and sum(got[i].n_links for i in ids) >= 0.97 * n.sum()
+        assert all(got[i].n_links <= k for i, k in zip(ids, n))
