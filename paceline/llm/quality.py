@@ -14,11 +14,6 @@ from paceline.sources.scratch import pin
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WINDOW = 5
-#: What is known of the rules beforehand, as bounds of their estimates: a defect rule hits
-#: hardly any good text and at least a fifth of the bad ones.
-ON_GOOD, ON_BAD = (0.99, 0.9999), (0.2, 0.99)
-#: Share of good texts assumed; votes can't tell it, as most texts get none against them.
-SHARE_GOOD = 0.85
 
 
 def signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,8 +57,8 @@ def signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 class Rule:
     """Votes against a text (-1) or for it (1) where its condition holds; abstains (0) otherwise.
 
-    A defect rule has nothing to say for a text: it would only vouch that its own defect is
-    not there, and many such votes together would outweigh a real defect.
+    A defect rule has nothing to say for a text: it could only vouch that its own defect is
+    not there. How much its silence tells is estimated with its votes.
     """
 
     name: str
@@ -86,48 +81,72 @@ def rules() -> list[Rule]:
         Rule("repeated_lines", -1, F.try_divide("n_dup_lines", "n_lines") > 0.5),
         Rule("repeated_words", -1, per_word("n_repeat_words") > 0.2),
         Rule("shouting", -1, shouting > 0.4),
-        Rule("prose", 1, (F.col("n_words") >= 20) & word_length.between(3.0, 9.0) & (shouting < 0.2)),
+        # Words of usual length, few capitals and marks, little said twice: looser bounds than
+        # those of the defects, so that a text just beyond one of these still has a voice for it.
+        Rule(
+            "prose",
+            1,
+            (F.col("n_words") >= 10) & word_length.between(3.0, 9.0) & (shouting < 0.4)
+            & (per_word("n_symbols") < 0.15) & (per_word("n_repeat_words") < 0.4),
+        ),
     ]
 
 
+VOTES = (-1, 0, 1)
+#: What is believed of any rule before it is seen at work: how often its votes (against, none,
+#: for) fall on a good text and on a bad one; and the share of good texts.
+BELIEF_GOOD = {-1: (0.02, 0.93, 0.05), 1: (0.02, 0.18, 0.80)}
+BELIEF_BAD = {-1: (0.30, 0.65, 0.05), 1: (0.05, 0.65, 0.30)}
+SHARE_GOOD = 0.85
+#: Texts that each belief weighs as much as: a table of any size overrules it.
+STRENGTH = 2.0
+
+
 @dataclass(frozen=True)
 class LabelModel:
-    """Share of good texts; of each rule, how often it doesn't vote against a good one, and does against a bad one."""
+    """Share of good texts; of each rule how often it gives each vote to a good and to a bad one."""
 
     good: float
-    on_good: list[float]
-    on_bad: list[float]
+    on_good: list[tuple[float, ...]]
+    on_bad: list[tuple[float, ...]]
 
     def weight(self, k: int, vote: int) -> float:
-        if vote > 0:
-            return math.log(self.on_good[k] / (1 - self.on_bad[k]))
-        return math.log((1 - self.on_good[k]) / self.on_bad[k]) if vote < 0 else 0.0
+        """What a rule's vote, or its silence, adds to the log odds of a good text."""
+        return math.log(self.on_good[k][vote + 1] / self.on_bad[k][vote + 1])
 
     def log_odds(self, votes: tuple[int, ...]) -> float:
         return math.log(self.good / (1 - self.good)) + sum(self.weight(k, v) for k, v in enumerate(votes))
 
+    def posterior(self, votes: tuple[int, ...]) -> float:
+        odds = self.log_odds(votes)
+        return 1 / (1 + math.exp(-odds)) if odds > -700 else 0.0
+
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 100) -> LabelModel:
+def fit(patterns: list[tuple[tuple[int, ...], int]], says: list[int], rounds: int = 1000, tolerance: float = 1e-9) -> LabelModel:
     """Expectation-maximisation over vote patterns and how many texts have each.
 
-    Without the bounds, a defect that no other rule sees would be taken for noise of its rule.
+    ``says`` has the sign each rule can vote with. Starts from the beliefs, which also count
+    as a few texts each (so no rate is ever zero), and ends when no rate moves any more.
+    Which class is the good one comes from the start alone: there, votes against are rarer.
     """
-    between = lambda x, low, high: min(high, max(low, x))
-    model = LabelModel(SHARE_GOOD, [0.99] * n_rules, [0.2] * n_rules)
+    model = LabelModel(SHARE_GOOD, [BELIEF_GOOD[s] for s in says], [BELIEF_BAD[s] for s in says])
     total = sum(n for _, n in patterns)
     for _ in range(rounds if total else 0):
-        good = [n / (1 + math.exp(-between(model.log_odds(v), -500, 500))) for v, n in patterns]
-
+        good = [n * model.posterior(v) for v, n in patterns]
         bad = [n - g for (_, n), g in zip(patterns, good)]
 
-        def against(k: int, mass: list[float], prior: float) -> float:
-            return (sum(m for (v, _), m in zip(patterns, mass) if v[k] < 0) + prior) / (sum(mass) + 1)
+        def rates(k: int, mass: list[float], belief: tuple[float, ...]) -> tuple[float, ...]:
+            own = [sum(m for (v, _), m in zip(patterns, mass) if v[k] == vote) for vote in VOTES]
+            return tuple((m + STRENGTH * b) / (sum(own) + STRENGTH) for m, b in zip(own, belief))
 
-        model = LabelModel(
-            SHARE_GOOD,
-            [between(1 - against(k, good, 0.01), *ON_GOOD) for k in range(n_rules)],
-            [between(against(k, bad, 0.2), *ON_BAD) for k in range(n_rules)],
+        before, model = model, LabelModel(
+            (sum(good) + STRENGTH * SHARE_GOOD) / (total + STRENGTH),
+            [rates(k, good, BELIEF_GOOD[s]) for k, s in enumerate(says)],
+            [rates(k, bad, BELIEF_BAD[s]) for k, s in enumerate(says)],
         )
+        flat = lambda m: [m.good, *[p for side in (m.on_good, m.on_bad) for r in side for p in r]]
+        if max(abs(x - y) for x, y in zip(flat(before), flat(model))) < tolerance:
+            break
     return model
 
 
@@ -142,11 +161,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     voters = rules()
     votes = rows.select(*[r.vote().cast("tinyint").alias(r.name) for r in voters])
     counted = votes.groupBy(*votes.columns).count().collect()
-    model = fit([(tuple(r[:-1]), r[-1]) for r in counted], len(voters))
+    model = fit([(tuple(r[:-1]), r[-1]) for r in counted], [r.says for r in voters])
     odds = F.lit(math.log(model.good / (1 - model.good)))
     for k, rule in enumerate(voters):
-        vote = rule.vote()
-        odds = odds + F.when(vote > 0, F.lit(model.weight(k, 1))).when(vote < 0, F.lit(model.weight(k, -1))).otherwise(0.0)
+        says = F.coalesce(rule.condition, F.lit(False))
+        odds = odds + F.when(says, F.lit(model.weight(k, rule.says))).otherwise(F.lit(model.weight(k, 0)))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed).withColumn("quality", 1 / (1 + F.exp(-odds)))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))

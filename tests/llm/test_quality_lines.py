@@ -39,21 +39,77 @@ def test_signals(spark):
     assert quality.digest(docs.limit(0)).count() == 0
 
 
-def test_em_finds_the_accuracies():
-    rng = random.Random(0)
-    on_good, on_bad = [0.995, 0.991, 0.998, 0.992], [0.8, 0.6, 0.7, 0.3]
-    counts, truth = {}, {}
-    for _ in range(40_000):
-        good = rng.random() < 0.85
-        right = on_good if good else on_bad
-        votes = tuple(-(rng.random() < (1 - p if good else p)) for p in right)
+SAYS = [-1, -1, -1, -1, 1]
+#: How often each rule votes: one against at random, two that are often wrong, one sharp, one for.
+ON_GOOD, ON_BAD = [0.3, 0.08, 0.06, 0.01, 0.9], [0.3, 0.45, 0.5, 0.8, 0.25]
+
+
+def voted(n, seed=0, good=0.8):
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(n):
+        is_good = rng.random() < good
+        rates = ON_GOOD if is_good else ON_BAD
+        texts.append((tuple(s * (rng.random() < p) for s, p in zip(SAYS, rates)), is_good))
+    counts = {}
+    for votes, _ in texts:
         counts[votes] = counts.get(votes, 0) + 1
-        truth.setdefault(votes, []).append(good)
-    model = quality.fit(list(counts.items()), 4)
-    assert all(abs(a - b) < 0.01 for a, b in zip(model.on_good, on_good))
-    assert model.on_bad[0] > model.on_bad[2] > model.on_bad[1] > model.on_bad[3]
-    right = sum((model.log_odds(v) > 0) == g for v, gs in truth.items() for g in gs)
-    assert right / 40_000 > 0.95
+    return texts, list(counts.items())
+
+
+def slow_em(texts, says, rounds):
+    """Text by text: posteriors after so many rounds, by plain products of rates."""
+    good = quality.SHARE_GOOD
+    on = {c: [dict(zip((-1, 0, 1), b[s])) for s in says] for c, b in (("g", quality.BELIEF_GOOD), ("b", quality.BELIEF_BAD))}
+    for i in range(rounds + 1):
+        posterior = []
+        for votes, _ in texts:
+            p, q = good, 1 - good
+            for k, v in enumerate(votes):
+                p, q = p * on["g"][k][v], q * on["b"][k][v]
+            posterior.append(p / (p + q))
+        if i == rounds:
+            return posterior
+        w = quality.STRENGTH
+        good = (sum(posterior) + w * quality.SHARE_GOOD) / (len(texts) + w)
+        for c, belief, mass in (("g", quality.BELIEF_GOOD, posterior), ("b", quality.BELIEF_BAD, [1 - p for p in posterior])):
+            for k, s in enumerate(says):
+                own = {v: sum(m for m, (votes, _) in zip(mass, texts) if votes[k] == v) for v in (-1, 0, 1)}
+                on[c][k] = {v: (own[v] + w * belief[s][v + 1]) / (sum(own.values()) + w) for v in own}
+
+
+def test_em_equals_a_slow_one():
+    texts, patterns = voted(600)
+    for rounds in (1, 7, 60):
+        model = quality.fit(patterns, SAYS, rounds, tolerance=0)
+        slow = slow_em(texts, SAYS, rounds)
+        assert all(abs(model.posterior(v) - p) < 1e-9 for (v, _), p in zip(texts, slow))
+
+
+def test_em_finds_the_accuracies():
+    texts, patterns = voted(60_000)
+    model = quality.fit(patterns, SAYS)
+    assert abs(model.good - 0.8) < 0.03
+    for found, true in ((model.on_good, ON_GOOD), (model.on_bad, ON_BAD)):
+        assert all(abs(rates[s + 1] - p) < 0.04 for rates, s, p in zip(found, SAYS, true))
+    right = sum((model.log_odds(v) > 0) == g for v, g in texts)
+    bayes = quality.LabelModel(0.8, *[[tuple({s: p, 0: 1 - p}.get(v, 0.5) for v in (-1, 0, 1)) for s, p in zip(SAYS, r)] for r in (ON_GOOD, ON_BAD)])
+    assert right >= sum((bayes.log_odds(v) > 0) == g for v, g in texts) - 60
+
+
+def test_a_noisy_rule_alone_does_not_reject_but_two_that_agree_do():
+    _, patterns = voted(20_000)
+    model = quality.fit(patterns, SAYS)
+    kept = lambda *votes: model.posterior(votes) >= 0.5
+    assert kept(0, 0, 0, 0, 1)
+    assert kept(-1, 0, 0, 0, 1) and kept(0, -1, 0, 0, 1) and kept(0, 0, -1, 0, 1) and kept(-1, -1, 0, 0, 1)
+    assert not kept(0, -1, -1, 0, 0) and not kept(0, 0, -1, -1, 1) and not kept(0, 0, 0, -1, 0)
+
+
+def test_tables_without_evidence():
+    assert quality.fit([], SAYS).posterior((0,) * 5) > 0.5
+    assert quality.fit([((0, 0, 0, 0, 1), 1)], SAYS).posterior((0, 0, 0, 0, 1)) > 0.5
+    assert quality.fit([((0, 0, 0, 0, 1), 10**12)], SAYS).posterior((0, 0, 0, 0, 1)) > 0.9
 
 
 def test_kept_agrees_with_labels(spark):
