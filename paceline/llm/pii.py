@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paceline.llm.words import indices
+from paceline.operators.joins import free_names
 from paceline.sources.scratch import pin
 
 # The patterns of the contract. Runs are possessive and begin where a run begins (or the last
@@ -20,6 +22,8 @@ PATTERNS = {
 }
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _SPANS = "array<struct<start:int,end:int,value:string>>"
+#: Code points of a section of a text; a context is shorter.
+SECTION = 4096
 #: Characters before and after a protected span that count as its context.
 CONTEXT = 80
 #: Different contexts in which a term must stand beside an entity, and the share of the
@@ -39,16 +43,69 @@ def terms_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _BETWEEN), lambda w: w != "")
 
 
-def _blanked(text: Column, spans: Column) -> Column:
-    """The text with a line end for each character of the spans, which may overlap."""
+def _before(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Of each number what those before it come to by ``join`` (a sum or maximum, from zero), and of all at the end.
+
+    In two levels, as a list that grows is copied with every step: inside parts of about the
+    square root of the length, then over the parts.
+    """
+    zero = F.array(F.lit(0))
+
+    def grown(xs: Column) -> Column:
+        return F.aggregate(xs, zero, lambda out, x: F.concat(out, F.array(join(F.element_at(out, -1), x))))
+
+    def cut(values: Column) -> Column:
+        def by(size: Column) -> Column:
+            parts = indices(F.lit(0), F.ceil(F.size(values) / size).cast("int"))
+            return F.transform(parts, lambda k: grown(F.slice(values, k * size + 1, size)))
+
+        return _named(F.greatest(F.ceil(F.sqrt(F.size(values))).cast("int"), F.lit(8)), by)
+
+    def placed(parts: Column) -> Column:
+        def joined(starts: Column) -> Column:
+            own = F.zip_with(parts, F.slice(starts, 1, F.size(parts)), lambda p, s: F.transform(F.slice(p, 1, F.size(p) - 1), lambda x: join(s, x)))
+            return F.concat(F.flatten(own), F.array(F.element_at(starts, -1)))
+
+        return _named(grown(F.transform(parts, lambda p: F.element_at(p, -1))), joined)
+
+    return _named(_named(values, cut), placed)
+
+
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
 
-    def add(state: Column, s: Column) -> Column:
-        lead = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        gone = F.repeat(F.lit("\n"), F.greatest(s["end"] - F.greatest(s["start"], state["at"]), F.lit(0)))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["text"], lead, gone).alias("text"))
+def _sections(text: Column) -> Column:
+    """A text in sections of ``SECTION`` code points, so that a place in it is found without counting from its start."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{SECTION}}}"), F.lit(0))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-    return F.aggregate(F.array_sort(spans), start, add, lambda s: F.concat(s["text"], F.substring(text, s["at"] + 1, F.length(text))))
+
+def _cut(sections: Column, start: Column, end: Column) -> Column:
+    """The text from one place to another."""
+    first = F.floor(start / SECTION).cast("int")
+    held = F.array_join(F.slice(sections, first + 1, F.floor(end / SECTION).cast("int") - first + 1), "")
+    return F.when(end > start, F.substring(held, start - first * SECTION + 1, end - start)).otherwise("")
+
+
+def _replaced(text: Column, spans: Column, mark: Callable[[Column, Column], Column]) -> Column:
+    """The text with ``mark(span, at)`` for each of the sorted spans, which may overlap; the text is done up to ``at``."""
+
+    def with_sections(sections: Column) -> Column:
+        def with_ends(ends: Column) -> Column:
+            piece = lambda s, i: F.concat(_cut(sections, F.get(ends, i), s["start"]), mark(s, F.get(ends, i)))
+            last = _cut(sections, F.element_at(ends, -1), F.length(text))
+            return F.concat(F.array_join(F.transform(spans, piece), ""), last)
+
+        return _named(_before(F.transform(spans, lambda s: s["end"]), F.greatest), with_ends)
+
+    return _named(_sections(text), with_sections)
+
+
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with a line end for each character of the spans, which may overlap."""
+    gone = lambda s, at: F.repeat(F.lit("\n"), F.greatest(s["end"] - F.greatest(s["start"], at), F.lit(0)))
+    return _named(F.array_sort(spans), lambda ordered: _replaced(text, ordered, gone))
 
 
 def _digits(value: Column) -> Column:
@@ -78,17 +135,20 @@ def find(text: Column, pattern: str | Column) -> Column:
     """Start, end (code points) and value of the matches, leftmost first, none overlapping."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    pairs = F.zip_with(F.split(text, pattern, -1), hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
+    gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(hits)), lambda gap: F.length(gap))
+
+    def placed(both: Column) -> Column:
+        def spans(ends: Column) -> Column:
+            def span(x: Column, i: Column) -> Column:
+                start = F.get(ends, i) + x["gap"]
+                return F.struct(start.alias("start"), (start + F.length(x["hit"])).alias("end"), x["hit"].alias("value"))
+
+            return F.transform(both, span)
 
-    def add(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(span)).alias("found"))
+        return _named(_before(F.transform(both, lambda x: x["gap"] + F.length(x["hit"])), lambda a, b: a + b), spans)
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("found"))
-    found = F.aggregate(F.filter(pairs, lambda x: x["hit"].isNotNull()), start, add)["found"]
-    return F.when(F.size(hits) > 0, found).otherwise(F.array().cast(_SPANS))
+    both = F.zip_with(gaps, hits, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
+    return F.when(F.size(hits) > 0, _named(both, placed)).otherwise(F.array().cast(_SPANS))
 
 
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,13 +158,13 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = rows.withColumns({k: F.filter(k, _checked(k)) for k in PATTERNS})
     # No base span is part of a context, the others as little as the one it surrounds.
     every = F.concat(*PATTERNS)
-    rows = rows.withColumn("around", F.when(F.size(every) > 0, _blanked(F.col("text"), every)))
+    rows = rows.withColumn("around", F.when(F.size(every) > 0, _sections(_blanked(F.col("text"), every))))
 
     def near(kind: str) -> Column:
         def one(span: Column) -> Column:
             begin = F.greatest(span["start"] - CONTEXT, F.lit(0))
             sides = F.concat(
-                F.substring("around", begin + 1, span["start"] - begin), F.lit("\n"), F.substring("around", span["end"] + 1, F.lit(CONTEXT))
+                _cut(F.col("around"), begin, span["start"]), F.lit("\n"), _cut(F.col("around"), span["end"], span["end"] + CONTEXT)
             )
             terms = F.filter(terms_of(sides), lambda w: F.length(w) > 2)
             return F.struct(F.concat(F.lit(f"{kind}:"), span["value"]).alias("entity"), F.array_distinct(terms).alias("terms"))
@@ -118,22 +178,27 @@ def disclosing_terms(base: DataFrame, docs: DataFrame, text_col: str = "text") -
     """``entity, term`` where the term gives the entity away.
 
     Of an entity e that 2^-IC of all rows hold, a term t that stands beside it discloses
-    PMI(e; t) = IC(e) + log2 P(e | t). The pair counts from a share of IC(e) and a number of
-    different contexts on, so copies of one text prove nothing. Term frequencies are of all
-    rows and whole texts; everything is counted per key before it is shuffled.
+    PMI(e; t) = IC(e) + log2 P(e | t), where P(e | t) is the share of the rows with t that have
+    it beside e. All counts are of rows, and a row counts once however often it holds the pair.
+    The pair counts from a share of IC(e) on, and from a number of documents with different
+    contexts on: of a document one context counts, so neither copies of a text nor an
+    address said three times in one prove anything. Term frequencies are of all rows and
+    whole texts; everything is counted per key before it is shuffled.
     """
     total = docs.count()
-    seen = base.where(F.size("beside") > 0).select("doc_id", "key", F.inline("beside"))
-    seen = seen.withColumn("context", F.xxhash64("terms"))
-    held = seen.groupBy("entity", "doc_id", "key").agg(F.count("*").alias("m")).groupBy("entity").agg(F.count("*").alias("rows"))
-    contexts = seen.groupBy("entity", "context").agg(F.first("terms").alias("terms"), F.count_distinct("doc_id", "key").alias("rows"))
-    beside = contexts.select("entity", F.explode("terms").alias("term"), "rows")
-    beside = beside.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("rows").alias("both"))
+    same = base.where(F.size("beside") > 0).groupBy("doc_id", "key").agg(F.first("beside").alias("beside"), F.count(F.lit(1)).alias("m"))
+    seen = same.select("doc_id", "key", "m", F.inline("beside"))
+    held = seen.select("entity", "doc_id", "key", "m").distinct().groupBy("entity").agg(F.sum("m").alias("rows"))
+    pairs = seen.select("entity", "doc_id", "key", "m", F.xxhash64("terms").alias("context"), F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("entity", "term", "doc_id", "key").agg(F.min("context").alias("context"), F.first("m").alias("m"))
+    # Documents with one context are one: their rows are summed before contexts are counted.
+    pairs = pairs.groupBy("entity", "term", "context").agg(F.sum("m").alias("m"))
+    beside = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("m").alias("both"))
     beside = pin(beside.where(F.col("contexts") >= SUPPORT))
     every = docs.select(F.explode(F.array_distinct(terms_of(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("all"))
     known = beside.join(every, "term").join(held, "entity")
     information = -F.log2(F.col("rows") / F.lit(float(max(total, 1))))
-    pmi = information + F.log2(F.least(F.col("both") / F.col("all"), F.lit(1.0)))
+    pmi = information + F.log2(F.col("both") / F.col("all"))
     return known.where((information > 0) & (pmi >= DISCLOSURE * information)).select("entity", "term")
 
 
@@ -171,20 +236,15 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows with every span generalised to its kind, as in ``<email>``; terms are removed."""
     marks = F.array_sort(F.concat(*[F.transform(k, _mark(k)) for k in [*PATTERNS, TERM]]))
     found = spans(docs, id_col, text_col)
-    found = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), marks.alias("_spans"))
-    found = found.where(F.size("_spans") > 0).dropDuplicates(["_id", "_key"]).hint("merge")
-    rows = docs.withColumn("_k", F.xxhash64(text_col))
-    rows = rows.join(found, rows[id_col].eqNullSafe(found["_id"]) & (rows["_k"] == found["_key"]), "left")
-
-    def add(state: Column, s: Column) -> Column:
-        lead = F.substring(F.col(text_col), state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        mark = F.when(s["start"] >= state["at"], s["mark"]).otherwise("")  # overlaps what is marked already
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["text"], lead, mark).alias("text"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-    done = F.aggregate("_spans", start, add, lambda s: F.concat(s["text"], F.substring(F.col(text_col), s["at"] + 1, F.length(text_col))))
-    out = rows.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(done))
-    return out.drop("_k", "_id", "_key", "_spans")
+    id_, key, hit, k = free_names(docs.columns, ["id", "key", "spans", "k"])
+    found = found.select(F.col("doc_id").alias(id_), F.col("key").alias(key), marks.alias(hit))
+    found = found.where(F.size(hit) > 0).dropDuplicates([id_, key]).hint("merge")
+    rows = docs.withColumn(k, F.xxhash64(text_col))
+    rows = rows.join(found, rows[id_col].eqNullSafe(found[id_]) & (rows[k] == found[key]), "left")
+    mark = lambda s, at: F.when(s["start"] >= at, s["mark"]).otherwise("")  # noqa: E731  else it overlaps what is marked
+    done = _replaced(F.col(text_col), F.col(hit), mark)
+    out = rows.withColumn(text_col, F.when(F.col(hit).isNull(), F.col(text_col)).otherwise(done))
+    return out.drop(k, id_, key, hit)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,11 @@
 import hashlib
+import math
 import random
 import re
+import time
+import unicodedata
+
+import xxhash
 
 from paceline.llm import pii
 
@@ -107,6 +112,104 @@ def test_sanitised_text(spark):
     assert got == {1: ("é <email>, <ip> <phone>, <card>.", 1), 2: (None, 1), None: ("<email>", 1), 4: ("+<card> a", 1)}
 
 
+def slow_disclosing(rows):
+    """``(entity, term)`` by counting documents one by one."""
+    inner = lambda c: c.isalnum() or unicodedata.category(c).startswith("M")
+
+    def terms(text):
+        out = []
+        for w in re.split("[ \t\n\x0b\x0c\r]+", text.lower()):
+            at = [i for i, c in enumerate(w) if inner(c)]
+            out += [w[at[0] : at[-1] + 1]] if at else []
+        return out
+
+    beside, holders, holds = {}, {}, {}
+    for n, (_, text) in enumerate(rows):
+        text = text or ""
+        for t in set(terms(text)):
+            holds[t] = holds.get(t, 0) + 1
+        blank = list(text)
+        for _, start, end in slow(text):
+            blank[start:end] = "\n" * (end - start)
+        blank = "".join(blank)
+        mine = {}
+        for kind, start, end in slow(text):
+            e = f"{kind}:{text[start:end]}"
+            holders.setdefault(e, set()).add(n)
+            near = tuple(dict.fromkeys(t for t in terms(blank[max(0, start - 80) : start] + "\n" + blank[end : end + 80]) if len(t) > 2))
+            for t in near:
+                mine.setdefault((e, t), []).append(near)
+        for pair, contexts in mine.items():
+            beside.setdefault(pair, []).append(min(contexts, key=context_hash))
+    found = set()
+    for (e, t), contexts in beside.items():
+        ic = -math.log2(len(holders[e]) / len(rows))
+        if len(set(contexts)) >= pii.SUPPORT and ic > 0 and ic + math.log2(len(contexts) / holds[t]) >= pii.DISCLOSURE * ic:
+            found.add((e, t))
+    return found
+
+
+def context_hash(terms):
+    """Spark's hash of a list: each element is hashed with the hash before as the seed."""
+    h = 42
+    for t in terms:
+        h = xxhash.xxh64_intdigest(t.encode(), h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def test_disclosing_terms_against_slow_counts(spark):
+    rng = random.Random(21)
+    people = {f"p{i}@mail.org": f"nick{i}" for i in range(6)}
+    rows = []
+    for i in range(300):
+        words = ["v%03d" % rng.randrange(400) for _ in range(rng.randrange(5, 60))]
+        for _ in range(rng.choice([0, 0, 1, 1, 3])):
+            mail, nick = rng.choice(list(people.items()))
+            words[rng.randrange(len(words)) :][:0] = [rng.choice([nick, nick.upper() + ",", "wrote"]), mail]
+            at = rng.randrange(len(words))
+            words[at:at] = [rng.choice([nick, nick.upper() + ",", "wrote"]), mail]
+        if rng.random() < 0.03:
+            words.append(rng.choice(list(people.values())))
+        rows.append((i, " ".join(words)))
+    rows += [(500, rows[3][1]), (501, rows[3][1]), (7, rows[7][1]), (7, rows[7][1]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    base = pii.base_spans(docs)
+    got = {(r.entity, r.term) for r in pii.disclosing_terms(base, docs).collect()}
+    assert got == slow_disclosing(rows) and got
+
+
+def test_a_term_that_is_common_elsewhere_stays(spark):
+    """One document says the address three times beside a word that others hold without it."""
+    fill = lambda i: " ".join(f"f{i}x{k}" for k in range(30))
+    text = " ".join(f"kestrel z{k} bo@mail.org y{k} {fill(k)}" for k in range(3))
+    rows = [(1, text), (2, "kestrel " + fill(8)), (3, fill(9) + " kestrel")] + [(10 + i, fill(20 + i)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert pii.disclosing_terms(pii.base_spans(docs), docs).count() == 0
+    assert all("kestrel" in r.text for r in pii.sanitise(docs).where("doc_id < 4").collect())
+
+
+def test_very_many_spans_in_one_text(spark):
+    """Time grows with the length of the text, not with its square."""
+    text = " ".join(f"é u{i}@m{i % 7}.org 10.0.{i % 256}.{i % 200} x" for i in range(8_000))
+    docs = spark.createDataFrame([(1, text), (2, "a" * 9000 + " q@r.st " + "é" * 9000)], "doc_id long, text string")
+    begin = time.time()
+    got = {r.doc_id: r for r in pii.digest(docs).collect()}
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert time.time() - begin < 120
+    assert got[1].base_sha256 == hashlib.sha256(",".join("%s:%d:%d" % s for s in slow(text)).encode()).hexdigest()
+    assert clean[1] == " ".join(["é <email> <ip> x"] * 8_000) and clean[2] == "a" * 9000 + " <email> " + "é" * 9000
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["_id", "_key", "_k", "_spans", "id", "key", "k", "spans", "beside", "email", "term"]
+    rows = [(1, "a@b.c", *range(len(names))), (2, "x", *range(len(names)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    out = pii.sanitise(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect())) == [(1, "<email>", *range(len(names))), rows[1]]
+    assert pii.sanitise(docs.limit(0)).count() == 0
+
+
 def test_plan_has_no_python(spark):
     docs = spark.createDataFrame([(1, "a@b.c")], "doc_id long, text string")
     for out in (pii.digest(docs), pii.sanitise(docs)):
