@@ -48,6 +48,15 @@ class Lookup:
 #: Stands after each token character, so that two bytes for either make a 32-bit id.
 GAP = "\0"
 
+#: Stands for no token; greater than all of them.
+NONE = "\ue000"
+
+#: Stands for the id 0 while characters are translated, which would drop its own character.
+ZERO = "\ue001"
+
+#: The 256 bytes as characters.
+ALL_BYTES = bytes(range(256)).decode("latin-1")
+
 
 def sign(rank: int) -> str:
     """The character that stands for a token id: the one with this code."""
@@ -82,8 +91,8 @@ class Codec:
                     pairs[sign(left) + sign(right)] = sign(rank)
         #: What two tokens make together; tokens are characters, in the order of their ranks.
         self.ranks = Lookup(pairs.items(), len(pairs))
-        single = [(f"{b:02X}", sign(ranks[bytes([b])])) for b in range(256) if bytes([b]) in ranks]
-        self.bytes = Lookup(single, len(single))
+        #: The tokens of single bytes, which a byte-level vocabulary has all.
+        self.bytes = "".join(sign(ranks[bytes([b])]) for b in range(256)).replace(sign(0), ZERO)
         self.pieces = _literal(pieces, "array<string>")
 
     def words(self, text: Column) -> Column:
@@ -93,37 +102,40 @@ class Codec:
     def fold(self, word: Column) -> Column:
         """Token characters of one word, a gap after each: from its bytes on, the pair with the lowest rank is merged, the left one first.
 
-        The state has the tokens, what each makes with the next one, and the place of the
-        pair to merge: 0 to look for it, -1 if there is none. Two steps make a merge, of
-        which only the two pairs around the new token are looked up.
+        The state is two strings: the tokens between two walls, and for each token but the
+        last what it makes with the next one. A merge looks up the two pairs around the new
+        token only.
         """
-        code = F.hex(word)
-        tokens = F.transform(indices(F.lit(0), F.octet_length(word)), lambda i: self.bytes(F.substring(code, i * 2 + 1, F.lit(2))))
-        nothing = F.lit(None).cast("array<string>")
-        first = F.struct(tokens.alias("parts"), nothing.alias("makes"), F.lit(-2).alias("at"))
-        steps = indices(F.lit(0), F.octet_length(word) * 2)
-        folded = F.aggregate(steps, first, lambda s, _: self._step(s, s["parts"], s["makes"], s["at"]))["parts"]
-        return F.concat(F.array_join(folded, GAP), F.lit(GAP))
-
-    def _step(self, state: Column, parts: Column, makes: Column, at: Column) -> Column:
-        whole, end = F.get(makes, at - 1), F.size(parts)
-        every = F.transform(parts, lambda a, i: F.concat(a, F.get(parts, i + 1)))
-        around = F.array(F.concat(F.get(parts, at - 2), whole), F.concat(whole, F.get(parts, at + 1)))
-        found = F.transform(F.when(at == -2, every).otherwise(around), lambda pair: self.ranks(pair))
-
-        def placed(new: Column) -> Column:
-            left = F.slice(new, 1, F.when(at > 1, 1).otherwise(0))
-            inside = F.concat(F.slice(makes, 1, F.greatest(at - 2, F.lit(0))), left, F.slice(new, 2, 1), F.slice(makes, at + 2, end))
-            merged = F.concat(F.slice(parts, 1, F.greatest(at - 1, F.lit(0))), F.array(whole), F.slice(parts, F.greatest(at, F.lit(0)) + 2, end))
-            return F.struct(
-                F.when(at == -2, parts).otherwise(merged).alias("parts"),
-                F.when(at == -2, new).otherwise(inside).alias("makes"),
-                F.lit(0).alias("at"),
-            )
-
-        place = F.coalesce(F.array_position(makes, F.array_min(makes)).cast("int"), F.lit(-1))
-        look = F.struct(parts.alias("parts"), makes.alias("makes"), place.alias("at"))
-        return F.when(at == -1, state).when(at == 0, look).otherwise(_named(found, placed))
+        code = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
+        singles = F.replace(F.translate(code, ALL_BYTES, self.bytes), F.lit(ZERO), F.lit(sign(0)))
+        walled = F.concat(F.lit(NONE), singles, F.lit(NONE))
+
+        def start(parts: Column) -> Column:
+            pairs = F.transform(indices(F.lit(1), F.char_length(parts) - 1), lambda i: self._made(F.substring(parts, i, F.lit(2))))
+            return F.struct(parts.alias("parts"), F.array_join(pairs, "").alias("makes"))
+
+        steps = indices(F.lit(1), F.octet_length(word) - 1)
+        folded = F.aggregate(steps, _named(walled, start), lambda s, _: self._step(s, s["parts"], s["makes"]))["parts"]
+        inside = F.split(F.translate(folded, NONE, ""), "")
+        return F.concat(F.array_join(inside, GAP), F.lit(GAP))
+
+    def _made(self, pair: Column) -> Column:
+        return F.coalesce(self.ranks(pair), F.lit(NONE))
+
+    def _step(self, state: Column, parts: Column, makes: Column) -> Column:
+        def merged(low: Column, at: Column) -> Column:
+            """``low`` in place of the pair at ``at``, which is at least 2: a wall makes nothing."""
+            rest = F.char_length(makes)
+            left = self._made(F.concat(F.substring(parts, at - 1, F.lit(1)), low))
+            right = self._made(F.concat(low, F.substring(parts, at + 2, F.lit(1))))
+            tokens = F.concat(F.substring(parts, F.lit(1), at - 1), low, F.substring(parts, at + 2, rest))
+            pairs = F.concat(F.substring(makes, F.lit(1), at - 2), left, right, F.substring(makes, at + 2, rest))
+            return F.struct(tokens.alias("parts"), pairs.alias("makes"))
+
+        def lowest(low: Column) -> Column:
+            return F.when(low == NONE, state).otherwise(_named(F.instr(makes, low), lambda at: merged(low, at)))
+
+        return _named(F.array_min(F.split(makes, "")), lowest)
 
     def encode(self, words: Column, head: Lookup) -> Column:
         """Ids of a list of words, looked up or else folded, as little-endian unsigned 32-bit integers."""
