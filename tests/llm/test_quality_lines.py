@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from paceline.llm import linechunks, quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -146,14 +148,15 @@ def hash_longs(values):
 
 
 def slow_chunks(text):
+    """Lines, and of every chunk its first line, its end, and how far it reaches with the next line on either side."""
     lines = (text or "").split("\n") if text is not None else []
     h = [xx(x.encode()) for x in lines]
-    out, begin = [], 0
-    for i in range(len(lines)):
-        if i == len(lines) - 1 or (i > 0 and signed(hash_longs(h[i - 1 : i + 1])) % linechunks.MEAN_LINES == 0):
-            if i > begin and sum(bool(WORD.search(x)) for x in lines[begin : i + 1]) > 1:
-                out.append((begin, i + 1))
-            begin = i + 1
+    at = [i for i, x in enumerate(lines) if WORD.search(x)]
+    r = [signed(hash_longs(h[a : b + 1])) for a, b in zip(at, at[1:])]
+    out = []
+    for k, x in enumerate(r):
+        if len(r) == 1 or (k > 0 and x <= r[k - 1]) or (k + 1 < len(r) and x <= r[k + 1]):
+            out.append((at[k], at[k + 1] + 1, at[max(k - 1, 0)], at[min(k + 2, len(at) - 1)] + 1))
     return lines, out
 
 
@@ -162,13 +165,17 @@ def slow_dedup(rows):
     key = lambda i, t: (i is None, i or 0, signed(xx(t.encode())) if t is not None else 0)
     for i, t in rows:
         lines, spans = slow_chunks(t)
-        for a, b in spans:
+        for a, b, low, high in spans:
             c = "\n".join(lines[a:b])
-            first[c] = min(first.get(c, (True, 2**70, 0, 0)), (*key(i, t), a))
+            first[c] = min(first.get(c, ((True, 2**70, 0, 0),)), ((*key(i, t), a), lines[low:a], lines[b:high]))
     out = []
     for i, t in rows:
         lines, spans = slow_chunks(t)
-        gone = {k for a, b in spans if first["\n".join(lines[a:b])] != (*key(i, t), a) for k in range(a, b)}
+        gone = set()
+        for a, b, low, high in spans:
+            place, left, right = first["\n".join(lines[a:b])]
+            if place != (*key(i, t), a):
+                gone |= set(range(low if lines[low:a] == left else a, high if lines[b:high] == right else b))
         kept = None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone)
         out.append((i, len(lines), len(gone), kept))
     return out
@@ -184,6 +191,8 @@ def test_line_chunks(spark):
         lines[at:at] = rng.choice(passages) if i % 3 else []
         rows.append((i, "\n".join(lines)))
     rows += [(70, rows[4][1]), (71, rows[4][1]), (4, rows[4][1]), (None, rows[4][1]), (80, None), (81, ""), (82, "\n\n\n"), (83, "\n\n\n"), (84, "a\n" * 50)]
+    rows += [(90 + k, f"\n\nx {k}\n" + "\n\n".join(["u", "v", " ", "w"][: k + 1]) + "\nz" * (k % 2)) for k in range(5)]
+    rows += [(100, "\n".join(f"long {j % 3000}" for j in range(7000)))]
     docs = spark.createDataFrame([(*r, "o") for r in rows], "doc_id long, text string, start string")
     got = linechunks.drop_repeated_chunks(docs).collect()
     order = lambda r: (r[0] is None, r[0] or 0, r[3] or "")
@@ -196,8 +205,8 @@ def test_line_chunks(spark):
 
 
 def test_equal_hash_with_other_bytes_stays(spark, monkeypatch):
-    def same(docs, mean_lines):
-        real = chunks(docs, mean_lines)
+    def same(docs):
+        real = chunks(docs)
         return real.withColumn("hash", real["hash"] * 0)
 
     chunks = linechunks.chunks
@@ -206,6 +215,23 @@ def test_equal_hash_with_other_bytes_stays(spark, monkeypatch):
     assert {r.doc_id: r.text for r in linechunks.drop_repeated_chunks(docs).collect()} == {1: "a\nb", 2: "c\nd", 3: ""}
 
 
+@pytest.mark.parametrize("size", [3, 4, 6, 10, 20])
+def test_repeated_passages_go_whole(spark, size):
+    rows = []
+    for k in range(60):
+        passage = [f"passage {size} {k} {j}" for j in range(size)]
+        rows += [(i, "\n".join([f"own {i} {j}" for j in range(i % 5)] + passage + [f"tail {i}"])) for i in (2 * k, 2 * k + 1)]
+    got = linechunks.drop_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r._removed == size * (r.doc_id % 2) for r in got)
+    assert all("passage" not in r.text for r in got if r.doc_id % 2)
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "a\nb", "k", 5), (2, "a\nb", "l", 6)], "_id long, _text string, _KEY string, _gone int")
+    got = linechunks.drop_repeated_chunks(docs, "_id", "_text").collect()
+    assert {(r["_id"], r["_text"], r["_KEY"], r["_gone"], r["_removed"]) for r in got} == {(1, "a\nb", "k", 5, 0), (2, "", "l", 6, 2)}
+
+
 def test_plans_have_no_python(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for out in (quality.digest(docs), linechunks.digest(docs)):
