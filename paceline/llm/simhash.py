@@ -22,17 +22,21 @@ ROWS_PER_CHUNK = 4_000_000
 BLOCK = 1024
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash of the lower-cased (A-Z) word shingles; zero for a text without words."""
+def hashed_shingles(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """Hashes of the lower-cased (A-Z) word shingles, repeats included; of fewer words the whole sequence, none without a word."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     if len(words) < shingle:
         parts = [b" ".join(words)]
     else:
         parts = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(p, seed) for p in parts], dtype="<u8")
+    return np.array([digest(p, seed) for p in parts], dtype="<u8")
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes, as a signed integer."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -40,6 +44,11 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """64-bit SimHash of the word shingles; zero for a text without words."""
+    return simhash(hashed_shingles(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """``id, fp`` (signed 64-bit) of each row. A null text has no words, so its fingerprint is zero."""
 

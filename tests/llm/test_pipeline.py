@@ -10,7 +10,7 @@ import corpus_pipeline
 from paceline.llm import langid
 from test_pii import slow as slow_pii
 from test_quality_lines import slow_dedup
-from test_simhash import slow_components, slow_fingerprint
+from test_nearcopies import slow_groups
 from test_tokens import check_packing
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
@@ -67,7 +67,7 @@ def test_lines(stages):
 
 def test_copies(stages):
     before = listed(stages[2], "doc_id", "text")
-    group = slow_components({i: slow_fingerprint(t) for i, t in before if i is not None}, 2)
+    group = slow_groups([(i, t) for i, t in before if i is not None])
     assert listed(stages[3], "doc_id", "text") == [r for r in before if r[0] is None or group[r[0]] == r[0]]
 
 
