@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paceline.operators.joins import free_names
 from paceline.sources.scratch import pin
 
 #: Hash buckets of the n-grams, and the lengths of n-grams in bytes of lower-cased text.
@@ -219,7 +220,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows with ``lang_pred`` and ``lang_score``; the text alone decides.
 
     A text that is null or has no letter is ``und`` with score 0, as is every text if the
-    model knows no language. Long texts are counted piece by piece.
+    model knows no language. Long texts are counted piece by piece. Columns of any name stay
+    as they are, but for those of the two results.
     """
     model_bytes = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -233,7 +235,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c not in ("lang_pred", "lang_score"))
     columns = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
-    rows = docs.select(*columns, F.col(text_col).alias("_text"))
+    (copy,) = free_names(columns, ["_text"])
+    rows = docs.select(*[f"`{c}`" for c in columns], F.col(text_col).alias(copy))
     return rows.mapInArrow(run, f"{kinds}, lang_pred string, lang_score double")
 
 

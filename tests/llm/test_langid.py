@@ -78,3 +78,13 @@ def test_weights_are_sparse():
     model = langid.fit(rows, np.ones(langid.BUCKETS))
     assert (model.weights[5000] != 0).all() and (model.weights[:2000] == 0).mean() > 0.2
     assert model.scores(*model.features(np.eye(1, langid.BUCKETS, 5001)[0])).argmax() == 1
+
+
+def test_columns_of_any_name_stay(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["the cat", "le chat"][i % 2].split()) for _ in range(20)), ["en", "fr"][i % 2]) for i in range(80)]
+    docs = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], "doc_id long, text string, lang string, _text string, __text string, `a.b` string")
+    got = langid.predict(docs, langid.train(docs, ~langid.held_out()))
+    assert got.columns == [*docs.columns, "lang_pred", "lang_score"]
+    assert {(r["_text"], r["__text"], r["a.b"]) for r in got.collect()} == {("x", "y", "z")}
+    assert sum(r.lang_pred == r.lang for r in got.collect()) > 70
