@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paceline.operators.joins import free_names
 from paceline.sources.scratch import pin
 
 #: Hash buckets of the n-grams, and the lengths of n-grams in bytes of lower-cased text.
@@ -223,20 +222,18 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     model knows no language. Long texts are counted piece by piece. Columns of any name stay
     as they are, but for those of the two results.
     """
+    columns = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
     model_bytes = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [model_bytes.value.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
             added = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], *added], [*batch.schema.names[:-1], "lang_pred", "lang_score"]
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], [*columns, "lang_pred", "lang_score"])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c not in ("lang_pred", "lang_score"))
-    columns = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
-    (copy,) = free_names(columns, ["_text"])
-    rows = docs.select(*[f"`{c}`" for c in columns], F.col(text_col).alias(copy))
+    # By place, as names may clash or hold dots, which mapInArrow can't look up.
+    rows = docs.select(*[f"`{c}`" for c in columns], F.col(text_col)).toDF(*[f"c{i}" for i in range(len(columns) + 1)])
     return rows.mapInArrow(run, f"{kinds}, lang_pred string, lang_score double")
 
 
