@@ -10,7 +10,8 @@ compared exactly.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -31,12 +32,17 @@ TILES, MINIMA = 16, 5
 WORDS = 8
 #: At a similarity of 0.8 the bits differ by 78 on average with a deviation of 8; this is three deviations more.
 RADIUS = 102
-#: Partners of a row in a tile that are verified once the nearest smaller ones have been.
-PARTNERS = 4
+#: Partners of a row in a tile that are verified once the nearest smaller ones have been; a row that
+#: has more is asked again for so many times as many, until it has no more.
+PARTNERS, MORE = 4, 16
 #: Rows of a tile beyond which it is cut into chunks that meet pairwise.
 CHUNK = 4096
 #: Cells of a matrix of differing bits.
 CELLS = 1 << 21
+#: Pairs that a task gathers before it hands them on.
+PAIRS = 1 << 18
+#: Differing bits of rows that need no comparison.
+APART = 64 * WORDS + 1
 _RANDOM = np.random.default_rng(20).integers(0, 2**64, (2, TILES * MINIMA), dtype=np.uint64)
 _SALTS = np.random.default_rng(21).integers(0, 2**64, WORDS, dtype=np.uint64)
 _ROWS = "id long, fp binary, same binary, keys array<long>"
@@ -83,38 +89,50 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, _ROWS)
 
 
-def _partners(fp: np.ndarray, node: np.ndarray, group: np.ndarray, below: bool) -> list[np.ndarray]:
-    """Of each row its nearest partners of other groups within the radius: node, partner, bits.
+def _blocks(fp: np.ndarray, node: np.ndarray, group: np.ndarray, asks: np.ndarray) -> Iterator[tuple]:
+    """Nodes that ask, nodes that may lie within the radius, and the bits in which they differ.
 
-    With ``below`` that is the nearest one of a smaller node (of equally near ones the last)
-    and, the other way round, the nearest one of a larger node; else up to ``PARTNERS``. Rows are ordered by population counts, and blocks beyond the
-    radius are skipped.
+    Bits of two rows of one group count as more than there are. Rows are ordered by population
+    counts, and blocks beyond the radius are skipped.
     """
     ones = np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
     order = np.lexsort((node, ones))
     fp, node, group, ones = fp[order], node[order], group[order], ones[order]
-    step, none, out = max(1, CELLS // len(fp)), 64 * WORDS + 1, []
-    for i in range(0, len(fp), step):
-        lo = np.searchsorted(ones, ones[i] - RADIUS, "left")
-        hi = np.searchsorted(ones, ones[min(i + step, len(fp)) - 1] + RADIUS, "right")
-        apart = np.zeros((len(fp[i : i + step]), hi - lo), np.uint16)
+    asking, step = np.flatnonzero(asks[order]), max(1, CELLS // len(fp))
+    for i in range(0, len(asking), step):
+        rows = asking[i : i + step]
+        lo = np.searchsorted(ones, ones[rows[0]] - RADIUS, "left")
+        hi = np.searchsorted(ones, ones[rows[-1]] + RADIUS, "right")
+        apart = np.zeros((len(rows), hi - lo), np.uint16)
         for word in fp.T:
-            apart += np.bitwise_count(word[i : i + step, None] ^ word[None, lo:hi])
-        apart[group[None, lo:hi] == group[i : i + step, None]] = none
-        if below:
-            larger = node[None, lo:hi] > node[i : i + step, None]
-            sides = [(np.where(larger, none, apart), False), (np.where(larger, apart, none), True)]
-        else:
-            sides = [(apart, False)] * PARTNERS
-        rows = np.arange(len(apart))
-        for cells, turned in sides:
+            apart += np.bitwise_count(word[rows, None] ^ word[None, lo:hi])
+        apart[group[None, lo:hi] == group[rows, None]] = APART
+        yield node[rows], node[lo:hi], apart
+
+
+def _nearest(fp: np.ndarray, node: np.ndarray, group: np.ndarray, asks: np.ndarray) -> Iterator[np.ndarray]:
+    """Of each row the nearest one of a smaller node (of equally near ones the last) and, the
+    other way round, the nearest one of a larger node: node, partner, bits."""
+    for left, right, apart in _blocks(fp, node, group, asks):
+        larger, rows = right > left[:, None], np.arange(len(left))
+        for cells, turned in ((np.where(larger, APART, apart), False), (np.where(larger, apart, APART), True)):
             at = cells.shape[1] - 1 - cells[:, ::-1].argmin(axis=1)
             bits = cells[rows, at]
             near = bits <= RADIUS
-            ends = [node[rows[near] + i], node[at[near] + lo]]
-            out.append(np.stack([*(ends[::-1] if turned else ends), bits[near]]).astype(np.int64))
-            cells[rows, at] = none
-    return out
+            ends = [left[near], right[at[near]]]
+            yield np.stack([*(ends[::-1] if turned else ends), bits[near]]).astype(np.int64)
+
+
+def _partners(fp: np.ndarray, node: np.ndarray, group: np.ndarray, asks: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Of each row that asks its ``most`` nearest ones of other groups: node, partner, 1 if it has more."""
+    for left, right, apart in _blocks(fp, node, group, asks):
+        row, at = np.nonzero(apart <= RADIUS)
+        order = np.lexsort((-at, apart[row, at], row))
+        row, at = row[order], at[order]
+        counts = np.bincount(row, minlength=len(left))
+        kept = np.arange(len(row)) - (np.cumsum(counts) - counts)[row] < most
+        row, at = row[kept], at[kept]
+        yield np.stack([left[row], right[at], counts[row] > most]).astype(np.int64)
 
 
 def _tiles(classes: DataFrame) -> DataFrame:
@@ -134,33 +152,39 @@ def _tiles(classes: DataFrame) -> DataFrame:
     )
 
 
-def _candidates(rows: DataFrame, below: bool) -> DataFrame:
-    """``b, a, bits``: each node of ``tile, fp, node, of`` (its group) with its partners in all tiles."""
+def _candidates(rows: DataFrame, partners: Callable[..., Iterator[np.ndarray]], third: str) -> DataFrame:
+    """``b, a`` and a third column: what ``partners`` finds for the nodes of ``tile, fp, node, of`` (its group), ``asks`` in all tiles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        rest, out, held = None, [], 0
         for batch in chain(batches, [None]):
             if batch is not None:
-                part = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3)]
+                part = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3, 4)]
                 part.append(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, WORDS))
                 rest = part if rest is None else [np.concatenate(x) for x in zip(rest, part)]
             if rest is None or not len(rest[0]):
                 continue
-            tile, node, group, fp = rest
+            tile, node, group, asks, fp = rest
             cuts = np.flatnonzero(np.diff(tile)) + 1
             last = len(tile) if batch is None else (cuts[-1] if len(cuts) else 0)
             bounds = np.array([0, *cuts[cuts < last], last])
             several = np.flatnonzero(np.diff(bounds) > 1)
-            out = []
             for lo, hi in zip(bounds[several], bounds[several + 1]):
-                out += _partners(fp[lo:hi], node[lo:hi], group[lo:hi], below)
-            if out:
-                columns = [pa.array(x) for x in np.concatenate(out, axis=1)]
-                yield pa.RecordBatch.from_arrays(columns, ["b", "a", "bits"])
+                for found in partners(fp[lo:hi], node[lo:hi], group[lo:hi], asks[lo:hi]):
+                    out.append(found)
+                    held += found.shape[1]
+                    if held >= PAIRS or len(out) >= PAIRS // 64:
+                        yield table(out)
+                        out, held = [], 0
             rest = [x[last:] for x in rest]
+        if out:
+            yield table(out)
+
+    def table(found: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, axis=1)], ["b", "a", third])
 
-    rows = rows.select("tile", "fp", "node", "of").repartition("tile").sortWithinPartitions("tile")
-    return rows.mapInArrow(run, "b long, a long, bits long").groupBy("b", "a").agg(F.min("bits").alias("bits"))
+    rows = rows.select("tile", "fp", "node", "of", "asks").repartition("tile").sortWithinPartitions("tile")
+    return rows.mapInArrow(run, f"b long, a long, {third} long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -204,26 +228,35 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     words is one shingle, and texts without a word (null is one) are alike. Two nodes are
     linked where the Jaccard similarity of both sets is at least ``SIMILARITY``. First the
     nearest smaller node over all tiles is verified, which joins most of a group; then, of
-    each node, the nearest ones of other groups in each tile, smaller or not. No link below
-    the similarity is made; one is missed where no tile is shared, where the bits differ by
-    more than ``RADIUS``, or where ``PARTNERS`` nearer texts of other groups fail in its place
-    in each tile. Rows that repeat an id share its group; an empty table gives an empty
-    result; other columns are not read.
+    each node, the nearest ones of other groups in each tile, smaller or not, and of the nodes
+    that have more of them the next ones, round by round until all within ``RADIUS`` are
+    verified or of one group. No link below the similarity is made; one is missed where no
+    tile is shared or where the bits differ by more than ``RADIUS``. Rows that repeat an id
+    share its group; an empty table gives an empty result; other columns are not read.
     """
     rows = pin(_sketches(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
     classes = pin(rows.groupBy("same").agg(F.min("id").alias("node"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     tiles = pin(_tiles(classes))
-    pairs = pin(_candidates(tiles.withColumn("of", F.col("node")), True))
+    alone = tiles.select("*", F.col("node").alias("of"), F.lit(True).alias("asks"))
+    pairs = pin(_candidates(alone, _nearest, "bits").groupBy("b", "a").agg(F.min("bits").alias("bits")))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = pin(_sets(docs, ends, id_col, text_col))
     nearest = pairs.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a"))
     links = pin(_verified(nearest, sets))
-    group = pin(components(links, "a", "b").select("node", F.col("component").alias("of")))
-    linked = tiles.join(ends.select(F.col("id").alias("node")), "node", "left_semi").join(group, "node", "left")
-    apart = _candidates(linked.withColumn("of", F.coalesce("of", "node")), False)
-    apart = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = pin(_verified(apart.join(nearest, ["a", "b"], "left_anti"), sets))
-    found = components(links.unionByName(more).unionByName(_repeated(rows, classes)), "a", "b")
+    linked = tiles.join(ends.select(F.col("id").alias("node")), "node", "left_semi").withColumn("asks", F.lit(True))
+    tried, most = nearest.select("a", "b"), PARTNERS
+    while True:
+        group = pin(components(links, "a", "b").select("node", F.col("component").alias("of")))
+        grouped = linked.join(group, "node", "left").withColumn("of", F.coalesce("of", "node"))
+        apart = pin(_candidates(grouped, partial(_partners, most=most), "more").distinct())
+        asked = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = links.unionByName(pin(_verified(asked.join(tried, ["a", "b"], "left_anti"), sets)))
+        again = apart.where("more > 0").select(F.col("b").alias("node")).distinct()
+        if again.isEmpty():
+            break
+        linked = linked.drop("asks").join(again.withColumn("asks", F.lit(True)), "node", "left").fillna(False, "asks")
+        tried, most = tried.unionByName(asked), most * MORE
+    found = components(links.unionByName(_repeated(rows, classes)), "a", "b")
     of_class = classes.join(found, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
     return rows.select("id", "same").join(of_class, "same").select("id", "component")
 
