@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from conftest import race_row, race_table
 from paceline.operators import clean, encode, history, model
+from paceline.operators.folds import time_folds
 from paceline.plans import flows
-from paceline.schema import FEATURE_COLS, FEATURE_SCHEMA, RACE, schema_problems
+from paceline.schema import FEATURE_COLS, FEATURE_SCHEMA, RACE, history_order, schema_problems
+from paceline.sources.scratch import pin
 
 SMALL = {"n_estimators": 5, "num_leaves": 8, "learning_rate": 0.5, "subsample": 1.0, "colsample_bytree": 1.0}
 
@@ -186,3 +188,21 @@ def test_search_in_parallel_gives_the_same(toy):
     one = model.grid_search(ready, grid, "holdout", ["id"])
     four = model.grid_search(ready, grid, "holdout", ["id"], parallelism=4)
     assert one[0] == four[0] and one[1].collect() == four[1].collect()
+
+
+def test_folds_learn_from_one_pass(spark, many_races):
+    """Every fold's matrix is the one fitted on its earlier rows; the rows of all folds are counted with it."""
+    features = history.history_features(clean.clean_races(many_races))
+    folded = pin(time_folds(features, history_order(features.columns), 3, unique=False))
+    matrices, rows_of = encode.ModelMatrix.fit_folds(folded, FEATURE_COLS, folds=3)
+    assert rows_of == {r["fold"]: r["count"] for r in folded.groupBy("fold").count().collect()}
+
+    def rows(df):
+        return sorted((round(r.label, 6), *[round(x, 6) for x in r.features]) for r in df.collect())
+
+    for i, matrix in enumerate(matrices):
+        before, own = folded.filter(F.col("fold") < i), folded.filter(F.col("fold") == i)
+        x_train, x_val, alone = encode.prepare_model_data(before, own, FEATURE_COLS)
+        assert matrix.names == alone.names
+        assert rows(matrix.transform(before)) == rows(x_train)
+        assert rows(matrix.transform(own)) == rows(x_val)
