@@ -206,3 +206,8 @@ def test_folds_learn_from_one_pass(spark, many_races):
         assert matrix.names == alone.names
         assert rows(matrix.transform(before)) == rows(x_train)
         assert rows(matrix.transform(own)) == rows(x_val)
+
+
+def test_node_ids_are_kept_for_deep_trees_only():
+    assert not model.make_regressor({"num_leaves": 8}).getCacheNodeIds()
+    assert model.make_regressor({"num_leaves": 64}).getCacheNodeIds()
