@@ -11,7 +11,6 @@ compared exactly.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -32,15 +31,17 @@ TILES, MINIMA = 16, 5
 WORDS = 8
 #: At a similarity of 0.8 the bits differ by 78 on average with a deviation of 8; this is three deviations more.
 RADIUS = 102
-#: Partners of a row in a tile that are verified once the nearest smaller ones have been; a row that
-#: has more is asked again for so many times as many, until it has no more.
+#: Partners of a row in a tile that are compared exactly at once, the nearest first; as long as there
+#: are more in other groups, so many times as many follow.
 PARTNERS, MORE = 4, 16
 #: Rows of a tile beyond which it is cut into chunks that meet pairwise.
 CHUNK = 4096
+#: Bytes of the sets in a tile beyond which it is cut likewise before they are compared.
+SET_BYTES = 1 << 24
 #: Cells of a matrix of differing bits.
 CELLS = 1 << 21
-#: Pairs that a task gathers before it hands them on.
-PAIRS = 1 << 18
+#: Rows that a task gathers before it hands them on.
+HELD = 1 << 18
 #: Differing bits of rows that need no comparison.
 APART = 64 * WORDS + 1
 _RANDOM = np.random.default_rng(20).integers(0, 2**64, (2, TILES * MINIMA), dtype=np.uint64)
@@ -89,114 +90,165 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, _ROWS)
 
 
-def _blocks(fp: np.ndarray, node: np.ndarray, group: np.ndarray, asks: np.ndarray) -> Iterator[tuple]:
-    """Nodes that ask, nodes that may lie within the radius, and the bits in which they differ.
+def _blocks(fps: np.ndarray, node: np.ndarray, group: np.ndarray) -> Iterator[tuple]:
+    """Places of some rows, places of those that may lie within the radius, and the bits in which they differ.
 
     Bits of two rows of one group count as more than there are. Rows are ordered by population
     counts, and blocks beyond the radius are skipped.
     """
+    fp = np.frombuffer(b"".join(fps), np.uint64).reshape(-1, WORDS)
     ones = np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
     order = np.lexsort((node, ones))
-    fp, node, group, ones = fp[order], node[order], group[order], ones[order]
-    asking, step = np.flatnonzero(asks[order]), max(1, CELLS // len(fp))
-    for i in range(0, len(asking), step):
-        rows = asking[i : i + step]
-        lo = np.searchsorted(ones, ones[rows[0]] - RADIUS, "left")
-        hi = np.searchsorted(ones, ones[rows[-1]] + RADIUS, "right")
-        apart = np.zeros((len(rows), hi - lo), np.uint16)
+    fp, group, ones = fp[order], group[order], ones[order]
+    step = max(1, CELLS // len(fp))
+    for i in range(0, len(fp), step):
+        rows = slice(i, min(i + step, len(fp)))
+        lo = np.searchsorted(ones, ones[i] - RADIUS, "left")
+        hi = np.searchsorted(ones, ones[rows.stop - 1] + RADIUS, "right")
+        apart = np.zeros((rows.stop - i, hi - lo), np.uint16)
         for word in fp.T:
             apart += np.bitwise_count(word[rows, None] ^ word[None, lo:hi])
         apart[group[None, lo:hi] == group[rows, None]] = APART
-        yield node[rows], node[lo:hi], apart
+        yield order[rows], order[lo:hi], apart
 
 
-def _nearest(fp: np.ndarray, node: np.ndarray, group: np.ndarray, asks: np.ndarray) -> Iterator[np.ndarray]:
+def _nearest(node: np.ndarray, fp: np.ndarray) -> Iterator[list[np.ndarray]]:
     """Of each row the nearest one of a smaller node (of equally near ones the last) and, the
     other way round, the nearest one of a larger node: node, partner, bits."""
-    for left, right, apart in _blocks(fp, node, group, asks):
+    for left, right, apart in _blocks(fp, node, node):
+        left, right = node[left], node[right]
         larger, rows = right > left[:, None], np.arange(len(left))
         for cells, turned in ((np.where(larger, APART, apart), False), (np.where(larger, apart, APART), True)):
             at = cells.shape[1] - 1 - cells[:, ::-1].argmin(axis=1)
             bits = cells[rows, at]
             near = bits <= RADIUS
             ends = [left[near], right[at[near]]]
-            yield np.stack([*(ends[::-1] if turned else ends), bits[near]]).astype(np.int64)
+            yield [*(ends[::-1] if turned else ends), bits[near]]
 
 
-def _partners(fp: np.ndarray, node: np.ndarray, group: np.ndarray, asks: np.ndarray, most: int) -> Iterator[np.ndarray]:
-    """Of each row that asks its ``most`` nearest ones of other groups: node, partner, 1 if it has more."""
-    for left, right, apart in _blocks(fp, node, group, asks):
-        row, at = np.nonzero(apart <= RADIUS)
-        order = np.lexsort((-at, apart[row, at], row))
-        row, at = row[order], at[order]
-        counts = np.bincount(row, minlength=len(left))
-        kept = np.arange(len(row)) - (np.cumsum(counts) - counts)[row] < most
-        row, at = row[kept], at[kept]
-        yield np.stack([left[row], right[at], counts[row] > most]).astype(np.int64)
+def _undecided(node: np.ndarray, fp: np.ndarray, same: np.ndarray, of: np.ndarray, tile: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """The rows that have one of another group within the radius."""
+    for left, _, apart in _blocks(fp, node, of):
+        found = left[(apart <= RADIUS).any(axis=1)]
+        yield [x[found] for x in (tile, node, fp, same, of)]
 
 
-def _tiles(classes: DataFrame) -> DataFrame:
-    """``tile, fp, node``: each node in every tile that it shares, chunks of a full tile in pairs."""
-    rows = classes.select(F.explode("keys").alias("tile"), "fp", "node")
-    shared = pin(
-        rows.groupBy("tile").agg(F.count("*").alias("n")).where("n > 1")
-        .select("tile", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    )
-    rows = join_lookup(rows, shared, {"tile": "tile"}, "inner")
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+def _forest(node: np.ndarray, fp: np.ndarray, of: np.ndarray, shingles: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """Links that join the groups as all rows of the similarity within the radius do, less than there are rows.
+
+    Each two rows within the radius are compared by their sets once, unless links found
+    before have joined their groups.
+    """
+    sizes = np.array([len(x) // 8 for x in shingles])
+    _, code, count = np.unique(np.frombuffer(b"".join(shingles), np.uint64), return_inverse=True, return_counts=True)
+    common = count[code] > 1
+    ends = np.concatenate([[0], np.cumsum(common)])[np.cumsum(sizes)]
+    code, starts = code[common], np.concatenate([[0], ends[:-1]])
+    own = np.zeros(len(count), bool)
+
+    def similar(row: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others have the similarity with the row."""
+        own[code[starts[row] : ends[row]]] = True
+        to = np.cumsum(ends[others] - starts[others])
+        first = np.concatenate([[0], to[:-1]])
+        places = np.arange(to[-1]) + np.repeat(starts[others] - first, to - first)
+        met = np.concatenate([[0], np.cumsum(own[code[places]])])
+        own[code[starts[row] : ends[row]]] = False
+        both = met[to] - met[first]
+        return both / (sizes[row] + sizes[others] - both) >= SIMILARITY
+
+    _, label = np.unique(of, return_inverse=True)
+    for left, right, apart in _blocks(fp, node, of):
+        links = []
+        for row, bits in zip(left, apart):
+            at = np.flatnonzero((bits <= RADIUS) & (right > row))
+            rest, most = right[at[np.argsort(bits[at], kind="stable")]], PARTNERS
+            rest = rest[np.minimum(sizes[rest], sizes[row]) / np.maximum(sizes[rest], sizes[row]) >= SIMILARITY]
+            while len(rest := rest[label[rest] != label[row]]):
+                tried, rest, most = rest[:most], rest[most:], most * MORE
+                for other in tried[similar(row, tried)]:
+                    if label[other] != label[row]:
+                        links.append((node[row], node[other]))
+                        label[label == label[other]] = label[row]
+        yield list(np.array(links, np.int64).reshape(-1, 2).T)
+
+
+def _in_chunks(rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The rows of the tiles listed in ``tile, chunks``; where there are several chunks, these meet in pairs, each pair in a tile of its own."""
+    rows, columns = join_lookup(rows, chunks, {"tile": "tile"}, "inner"), [c for c in rows.columns if c != "tile"]
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("tile", "node"), F.col("chunks")).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != F.col("chunk"))
     to = F.when(F.col("chunks") > 1, others).otherwise(F.array(F.lit(0)))
     pair = F.xxhash64("tile", F.least("chunk", "to"), F.greatest("chunk", "to"))
-    return rows.select("*", F.explode(to).alias("to")).select(
-        F.when(F.col("chunks") > 1, pair).otherwise(F.col("tile")).alias("tile"), "fp", "node"
-    )
+    tile = F.when(F.col("chunks") > 1, pair).otherwise(F.col("tile")).alias("tile")
+    return rows.select("*", F.explode(to).alias("to")).select(tile, *columns)
+
+
+def _tiles(classes: DataFrame) -> DataFrame:
+    """``tile, node, fp, same``: each node in every tile that it shares, chunks of a full tile in pairs."""
+    rows = classes.select(F.explode("keys").alias("tile"), "node", "fp", "same")
+    shared = rows.groupBy("tile").agg(F.count("*").alias("n")).where("n > 1")
+    return _in_chunks(rows, pin(shared.select("tile", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))))
 
 
-def _candidates(rows: DataFrame, partners: Callable[..., Iterator[np.ndarray]], third: str) -> DataFrame:
-    """``b, a`` and a third column: what ``partners`` finds for the nodes of ``tile, fp, node, of`` (its group), ``asks`` in all tiles."""
+def _by_tile(rows: DataFrame, columns: list[str], found: Callable[..., Iterator[list[np.ndarray]]], schema: str) -> DataFrame:
+    """What ``found`` yields, column by column, for these columns of the rows of each tile that has several."""
+    names, kinds = zip(*(x.split() for x in schema.split(", ")))
+    kinds = [{"long": pa.int64(), "binary": pa.binary()}[kind] for kind in kinds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest, out, held = None, [], 0
         for batch in chain(batches, [None]):
             if batch is not None:
-                part = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3, 4)]
-                part.append(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, WORDS))
+                part = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
                 rest = part if rest is None else [np.concatenate(x) for x in zip(rest, part)]
             if rest is None or not len(rest[0]):
                 continue
-            tile, node, group, asks, fp = rest
+            tile = rest[0]
             cuts = np.flatnonzero(np.diff(tile)) + 1
             last = len(tile) if batch is None else (cuts[-1] if len(cuts) else 0)
             bounds = np.array([0, *cuts[cuts < last], last])
             several = np.flatnonzero(np.diff(bounds) > 1)
             for lo, hi in zip(bounds[several], bounds[several + 1]):
-                for found in partners(fp[lo:hi], node[lo:hi], group[lo:hi], asks[lo:hi]):
-                    out.append(found)
-                    held += found.shape[1]
-                    if held >= PAIRS or len(out) >= PAIRS // 64:
-                        yield table(out)
+                for table in found(*(x[lo:hi] for x in rest[1:])):
+                    out.append(table)
+                    held += len(table[0])
+                    if held >= HELD or len(out) >= HELD // 64:
+                        yield as_batch(out)
                         out, held = [], 0
             rest = [x[last:] for x in rest]
         if out:
-            yield table(out)
+            yield as_batch(out)
 
-    def table(found: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, axis=1)], ["b", "a", third])
+    def as_batch(tables: list[list[np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), kind) for x, kind in zip(zip(*tables), kinds)], names)
 
-    rows = rows.select("tile", "fp", "node", "of", "asks").repartition("tile").sortWithinPartitions("tile")
-    return rows.mapInArrow(run, f"b long, a long, {third} long")
+    dealt = rows.select(F.col("tile").alias("in_tile"), *columns).repartition("in_tile").sortWithinPartitions("in_tile")
+    return dealt.mapInArrow(run, schema)
 
 
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, shingles``: the distinct shingle hashes, ascending, of the rows whose id is listed."""
+    """``id, same, bytes, shingles``: the distinct shingle hashes, ascending, of the rows whose id is listed, their digest and size; each set of an id once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(hashed_shingles(t.as_py(), SHINGLE)).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
+            same = [xxhash.xxh128_digest(x) for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(sets, pa.binary())], ["id", "same", "shingles"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
-    return rows.mapInArrow(run, "id long, shingles binary")
+    sets = rows.mapInArrow(run, "id long, same binary, shingles binary").groupBy("id", "same").agg(F.first("shingles").alias("shingles"))
+    return sets.select("id", "same", F.octet_length("shingles").alias("bytes"), "shingles")
+
+
+def _linked(tiles: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b``: links between groups, found in each tile of ``tile, node, fp, same, of``; their number is below that of the rows."""
+    open_rows = pin(_by_tile(tiles, ["node", "fp", "same", "of", "tile"], _undecided, "tile long, node long, fp binary, same binary, of long"))
+    sets = sets.withColumnRenamed("id", "node")
+    full = open_rows.join(sets.select("node", "same", "bytes"), ["node", "same"]).groupBy("tile").agg(F.sum("bytes").alias("bytes"))
+    chunks = pin(full.select("tile", F.ceil(F.col("bytes") / SET_BYTES).cast("int").alias("chunks")))
+    rows = _in_chunks(open_rows, chunks).join(sets.drop("bytes"), ["node", "same"])
+    return _by_tile(rows, ["node", "fp", "of", "shingles"], _forest, "a long, b long")
 
 
 def jaccard(left: np.ndarray, right: np.ndarray) -> float:
@@ -227,35 +279,26 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Texts with one set of lower-cased (A-Z) five-word shingles are one node; a text of fewer
     words is one shingle, and texts without a word (null is one) are alike. Two nodes are
     linked where the Jaccard similarity of both sets is at least ``SIMILARITY``. First the
-    nearest smaller node over all tiles is verified, which joins most of a group; then, of
-    each node, the nearest ones of other groups in each tile, smaller or not, and of the nodes
-    that have more of them the next ones, round by round until all within ``RADIUS`` are
-    verified or of one group. No link below the similarity is made; one is missed where no
-    tile is shared or where the bits differ by more than ``RADIUS``. Rows that repeat an id
-    share its group; an empty table gives an empty result; other columns are not read.
+    nearest smaller node over all tiles is verified, which joins most of a group. Then the
+    nodes that have others of another group within ``RADIUS`` go to their tiles again,
+    with their sets, where all such pairs are compared and only the links that join groups
+    are returned, so what is returned grows with the rows of the tiles and not with their
+    pairs. No link below the similarity is made; one is missed where no tile is shared or
+    where the bits differ by more than ``RADIUS``. Rows that repeat an id share its group;
+    an empty table gives an empty result; other columns are not read.
     """
     rows = pin(_sketches(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
     classes = pin(rows.groupBy("same").agg(F.min("id").alias("node"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     tiles = pin(_tiles(classes))
-    alone = tiles.select("*", F.col("node").alias("of"), F.lit(True).alias("asks"))
-    pairs = pin(_candidates(alone, _nearest, "bits").groupBy("b", "a").agg(F.min("bits").alias("bits")))
+    near = _by_tile(tiles, ["node", "fp"], _nearest, "b long, a long, bits long")
+    pairs = pin(near.groupBy("b", "a").agg(F.min("bits").alias("bits")))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = pin(_sets(docs, ends, id_col, text_col))
     nearest = pairs.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a"))
     links = pin(_verified(nearest, sets))
-    linked = tiles.join(ends.select(F.col("id").alias("node")), "node", "left_semi").withColumn("asks", F.lit(True))
-    tried, most = nearest.select("a", "b"), PARTNERS
-    while True:
-        group = pin(components(links, "a", "b").select("node", F.col("component").alias("of")))
-        grouped = linked.join(group, "node", "left").withColumn("of", F.coalesce("of", "node"))
-        apart = pin(_candidates(grouped, partial(_partners, most=most), "more").distinct())
-        asked = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = links.unionByName(pin(_verified(asked.join(tried, ["a", "b"], "left_anti"), sets)))
-        again = apart.where("more > 0").select(F.col("b").alias("node")).distinct()
-        if again.isEmpty():
-            break
-        linked = linked.drop("asks").join(again.withColumn("asks", F.lit(True)), "node", "left").fillna(False, "asks")
-        tried, most = tried.unionByName(asked), most * MORE
+    group = pin(components(links, "a", "b").select("node", F.col("component").alias("of")))
+    grouped = tiles.join(ends.select(F.col("id").alias("node")), "node", "left_semi").join(group, "node", "left")
+    links = links.unionByName(pin(_linked(grouped.withColumn("of", F.coalesce("of", "node")), sets)))
     found = components(links.unionByName(_repeated(rows, classes)), "a", "b")
     of_class = classes.join(found, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
     return rows.select("id", "same").join(of_class, "same").select("id", "component")

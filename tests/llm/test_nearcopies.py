@@ -90,6 +90,34 @@ def test_a_copy_behind_many_nearer_texts(spark, monkeypatch):
     assert groups(spark, rows) == sorted(wanted.items())
 
 
+def test_pairs_below_the_similarity_make_no_rows(spark, monkeypatch):
+    """200 texts within the radius of each other: their pairs are compared, but only links come out of the tiles."""
+    monkeypatch.setattr(nearcopies, "SET_BYTES", 20 * 8 * 996)
+    counts, pin = [], nearcopies.pin
+
+    def counted(df):
+        kept = pin(df)
+        if {"a", "b"} <= set(kept.columns):
+            counts.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(nearcopies, "pin", counted)
+    rng = random.Random(13)
+    base = ["w%d" % i for i in range(1000)]
+
+    def spaced(n):
+        out = list(base)
+        for i in rng.sample(range(5, len(out) - 5, 5), n):
+            out[i] = "other%d" % rng.randrange(10**9)
+        return out
+
+    rows = [(i, " ".join(spaced(rng.choice([11, 12, 15, 16])))) for i in range(200)]
+    wanted = slow_groups(rows)
+    assert len(set(wanted.values())) > 50
+    assert groups(spark, rows) == sorted(wanted.items())
+    assert sum(counts) <= 2 * nearcopies.TILES * len(rows), counts
+
+
 def test_a_very_long_text(spark):
     rng = random.Random(9)
     words = ["w%d" % rng.randrange(50000) for _ in range(200_000)]
