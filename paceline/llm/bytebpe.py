@@ -70,6 +70,10 @@ def _named(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def _state(parts: Column, makes: Column) -> Column:
+    return F.struct(parts.alias("parts"), makes.alias("makes"), F.array_min(F.split(makes, "")).alias("low"))
+
+
 def java_pattern(pattern: str) -> str:
     """The pattern with white space as Unicode has it, which Java's short form hasn't."""
     pattern = pattern.replace("'s|'t|'re|'ve|'m|'ll|'d|", "'(?:s|t|re|ve|m|ll|d)|")  # the same, tried at once
@@ -102,40 +106,36 @@ class Codec:
     def fold(self, word: Column) -> Column:
         """Token characters of one word, a gap after each: from its bytes on, the pair with the lowest rank is merged, the left one first.
 
-        The state is two strings: the tokens between two walls, and for each token but the
-        last what it makes with the next one. A merge looks up the two pairs around the new
-        token only.
+        The state is two strings, the tokens between two walls and for each token but the last
+        what it makes with the next one, and the least of the latter. A merge looks up the two
+        pairs around the new token only; a word that makes nothing more costs one comparison a step.
         """
         code = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
         singles = F.replace(F.translate(code, ALL_BYTES, self.bytes), F.lit(ZERO), F.lit(sign(0)))
         walled = F.concat(F.lit(NONE), singles, F.lit(NONE))
 
         def start(parts: Column) -> Column:
-            pairs = F.transform(indices(F.lit(1), F.char_length(parts) - 1), lambda i: self._made(F.substring(parts, i, F.lit(2))))
-            return F.struct(parts.alias("parts"), F.array_join(pairs, "").alias("makes"))
+            pairs = F.transform(indices(F.lit(1), F.char_length(parts) - 1), lambda i: F.substring(parts, i, F.lit(2)))
+            return _named(self._made(pairs), lambda makes: _state(parts, makes))
 
         steps = indices(F.lit(1), F.octet_length(word) - 1)
-        folded = F.aggregate(steps, _named(walled, start), lambda s, _: self._step(s, s["parts"], s["makes"]))["parts"]
+        folded = F.aggregate(steps, _named(walled, start), lambda s, _: self._step(s, s["parts"], s["makes"], s["low"]))["parts"]
         inside = F.split(F.translate(folded, NONE, ""), "")
         return F.concat(F.array_join(inside, GAP), F.lit(GAP))
 
-    def _made(self, pair: Column) -> Column:
-        return F.coalesce(self.ranks(pair), F.lit(NONE))
+    def _made(self, pairs: Column) -> Column:
+        """What each pair of an array makes, in a row."""
+        return F.array_join(F.transform(pairs, lambda pair: F.coalesce(self.ranks(pair), F.lit(NONE))), "")
 
-    def _step(self, state: Column, parts: Column, makes: Column) -> Column:
-        def merged(low: Column, at: Column) -> Column:
+    def _step(self, state: Column, parts: Column, makes: Column, low: Column) -> Column:
+        def merged(at: Column) -> Column:
             """``low`` in place of the pair at ``at``, which is at least 2: a wall makes nothing."""
-            rest = F.char_length(makes)
-            left = self._made(F.concat(F.substring(parts, at - 1, F.lit(1)), low))
-            right = self._made(F.concat(low, F.substring(parts, at + 2, F.lit(1))))
-            tokens = F.concat(F.substring(parts, F.lit(1), at - 1), low, F.substring(parts, at + 2, rest))
-            pairs = F.concat(F.substring(makes, F.lit(1), at - 2), left, right, F.substring(makes, at + 2, rest))
-            return F.struct(tokens.alias("parts"), pairs.alias("makes"))
-
-        def lowest(low: Column) -> Column:
-            return F.when(low == NONE, state).otherwise(_named(F.instr(makes, low), lambda at: merged(low, at)))
+            left = F.concat(F.substring(parts, at - 1, F.lit(1)), low)
+            right = F.concat(low, F.substring(parts, at + 2, F.lit(1)))
+            pairs = F.overlay(makes, self._made(F.array(left, right)), at - 1, 3)
+            return _named(pairs, lambda pairs: _state(F.overlay(parts, low, at, 2), pairs))
 
-        return _named(F.array_min(F.split(makes, "")), lowest)
+        return F.when(low == NONE, state).otherwise(_named(F.instr(makes, low), merged))
 
     def encode(self, words: Column, head: Lookup) -> Column:
         """Ids of a list of words, looked up or else folded, as little-endian unsigned 32-bit integers."""

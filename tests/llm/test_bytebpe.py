@@ -47,6 +47,16 @@ def test_digest_and_round_trip(spark):
     assert bytebpe.digest(docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
 
 
+def test_the_table_of_pairs_stands_in_a_fold_no_more_than_twice(spark):
+    """The plan holds it as a literal each time, and a key is worked out once for each look-up."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"qz": 256}
+    folded = bytebpe.Codec(ranks, public_tokenizers.PATTERN).fold(F.col("word"))
+    docs = spark.createDataFrame([(" qzq qz",), ("",), ("qqzzqz",)], "word string")
+    assert [r[0].replace(bytebpe.GAP, "") for r in docs.select(folded).collect()] == [" \u0100q \u0100", "", "q\u0100z\u0100"]
+    plan = docs.select(folded)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("keys: [qz]") <= 2 and plan.count("xxhash64(concat") == 0
+
+
 def test_plan_has_no_python_and_no_shuffle(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     plan = bytebpe.digest(docs, PATH, public_tokenizers.PATTERN)._jdf.queryExecution().executedPlan().toString()
