@@ -61,3 +61,48 @@ def test_plan_has_no_python_and_no_shuffle(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     plan = bytebpe.digest(docs, PATH, public_tokenizers.PATTERN)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan and "from_json" not in plan
+
+
+def test_tables_stand_neither_in_the_plan_nor_in_its_rows(spark):
+    """As literals they filled the driver's memory with the texts of plans, and each task read them anew."""
+    docs = spark.createDataFrame([(1, "a b", 5, "own")], "doc_id long, text string, _tables int, ids string")
+    codec = bytebpe.Codec(bytebpe.read_ranks(PATH), public_tokenizers.PATTERN)
+    out = bytebpe.decode(bytebpe.encode(docs, codec), codec)
+    assert out.columns == ["doc_id", "text", "_tables", "ids", "bytes"]
+    (row,) = out.collect()
+    assert (row["_tables"], row.bytes, np.frombuffer(row.ids, "<u4").tolist()) == (5, b"a b", encoding().encode_ordinary("a b"))
+    execution = bytebpe.digest(docs, PATH, public_tokenizers.PATTERN)._jdf.queryExecution()
+    assert len(execution.toString()) < 50_000
+    # Once for the rank map and the words, once for the pieces, each where it is used; rows don't carry them.
+    plan = execution.optimizedPlan().toString()
+    assert plan.count("transform(array(scalar-subquery#") == 2 and plan.count("scalar-subquery#") == 2
+    assert "AS _tables" not in plan
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_early_merges_keep_the_order(spark, seed):
+    """Ranks without any order, as a vocabulary may have them: replacing stops where it would change a result."""
+    rng = random.Random(seed)
+    tokens = [bytes([b]) for b in range(256)]
+    for _ in range(40):
+        token = rng.choice(tokens[97:101] + tokens[256:]) + rng.choice(tokens[97:101] + tokens[256:])
+        tokens += [token] if token not in tokens else []
+    tail = tokens[256:]
+    if seed > 2:
+        rng.shuffle(tail)
+    ranks = {t: i for i, t in enumerate(tokens[:256] + tail)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = bytebpe.Codec(ranks, public_tokenizers.PATTERN)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 30))) for _ in range(300)]
+    rows = spark.createDataFrame([(w,) for w in words], "word string")
+    got = bytebpe.with_tables(rows, "word", "tokens", lambda t, word: codec.fold(word, t["pairs"]), pairs=(codec.pairs.maps, bytebpe.Lookup.KIND))
+    for r in got.collect():
+        if r.word.encode() not in ranks:  # else the library takes the word as it is, whatever its merges give
+            assert [ord(c) for c in r.tokens[::2]] == library.encode_ordinary(r.word), r.word
+
+
+def test_early_merges_stop_where_the_order_matters():
+    assert bytebpe.early_merges({256: [(1, 2)], 257: [(1, 256)], 258: [(3, 3)]}, 9) == [(1, 2, 256), (1, 256, 257), (3, 3, 258)]
+    assert bytebpe.early_merges({256: [(1, 2)], 257: [(1, 256)]}, 1) == [(1, 2, 256)]
+    assert bytebpe.early_merges({256: [(1, 2)], 257: [(3, 258)], 258: [(4, 5)]}, 9) == [(1, 2, 256), (3, 258, 257)]
+    assert bytebpe.early_merges({256: [(1, 2)], 257: [(1, 256), (256, 1)]}, 9) == [(1, 2, 256)]
